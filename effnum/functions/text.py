@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside a lambda, where
+    Spark does not share equal subexpressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def non_blank(text: str | Column) -> Column:
     """True where the text is present and holds more than whitespace."""
     c = _col(text)
@@ -82,13 +90,15 @@ def strip_punctuation(text: str | Column) -> Column:
 
 def word_chunks(text: str | Column) -> Column:
     """Consecutive chunks of ``max(3, words // 3)`` words, each joined by blanks."""
-    w = words(text)
-    step = F.greatest(F.lit(3), F.floor(F.size(w) / 3).cast("int"))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), step),
-        lambda i: F.array_join(F.slice(w, i + 1, step), " "),
-    )
-    return F.when(F.size(w) > 0, chunks).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        step = F.greatest(F.lit(3), F.floor(F.size(w) / 3).cast("int"))
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), step),
+            lambda i: F.array_join(F.slice(w, i + 1, step), " "),
+        )
+
+    return F.filter(let(words(text), cut), lambda chunk: chunk != "")
 
 
 def word_shape(word: Column) -> Column:
@@ -120,8 +130,8 @@ def vowel_variety(text: str | Column) -> Column:
 
 def unique_word_ratio(text: str | Column) -> Column:
     """Distinct words over words, case kept; zero for an empty text."""
-    w = words(text)
-    return F.coalesce(F.try_divide(F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0))
+    ratio = let(words(text), lambda w: F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
+    return F.coalesce(ratio, F.lit(0.0))
 
 
 def length_proxy(text: str | Column) -> Column:

@@ -56,14 +56,31 @@ def pack(
         .join(sizes, list(keys))
         .withColumn("n_blk", F.ceil(F.col("_rows") / F.lit(height)).cast("int"))
         .withColumn("blk", F.pmod(spread, F.col("n_blk")).cast("int"))
-        .groupBy(*keys, "n_blk", "n", "blk")
+        # A fixed number of partitions: the work per block is far larger than its
+        # bytes suggest, so small blocks must not be merged into a few tasks.
+        .repartition(partitions(df), *keys, "blk")
+        .groupBy(*keys, "blk", "n_blk", "n")
         .agg(F.array_sort(F.collect_list(F.struct(*ident, *columns))).alias("rows"))
     )
 
 
-def kept(blocks: DataFrame) -> DataFrame:
-    """Write the blocks once where several steps read them."""
-    return cut_lineage(blocks)
+def packed(*args, **kwargs) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pack and write the blocks once, then split them into groups of one block and
+    groups of several; either side is ``None`` when there is none.
+
+    The pair routes read the blocks up to four times. Reading them from the shared
+    folder costs less than packing again, and keeps the plans small.
+    """
+    blocks = cut_lineage(pack(*args, **kwargs))
+    low, high = blocks.agg(F.min("n_blk"), F.max("n_blk")).first()
+    small = blocks.where(F.col("n_blk") == 1) if low == 1 or high is None else None
+    large = blocks.where(F.col("n_blk") > 1) if high is not None and high > 1 else None
+    return small, large
+
+
+def partitions(df: DataFrame) -> int:
+    """The session's shuffle partition count."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def block_pairs(blocks: DataFrame, keys: Sequence[str], left: list[Column], right: list[Column]) -> DataFrame:
@@ -93,7 +110,9 @@ def block_pairs(blocks: DataFrame, keys: Sequence[str], left: list[Column], righ
         .where(once)
         .select(*keys, "i", "j", *right)
     )
-    return a.join(b, [*keys, "i", "j"])
+    on = [*keys, "i", "j"]
+    spread = partitions(blocks)
+    return a.repartition(spread, *on).join(b.repartition(spread, *on), on)
 
 
 def key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -139,22 +158,61 @@ def run(
     return df.mapInArrow(apply, schema)
 
 
+def run_rows(
+    blocks: DataFrame,
+    keys: Sequence[str],
+    fields: Sequence[str],
+    kernel: Callable[[pa.RecordBatch], list[np.ndarray]],
+    inputs: Sequence[str | Column],
+) -> DataFrame:
+    """Apply a kernel that needs nothing but its own block and gives one number per
+    row: ``keys..., n, <fields>, sum``. ``inputs`` are the columns it reads.
+
+    The rows pass through the kernel with their numbers; no join back is needed.
+    """
+    slim = blocks.select(*keys, "n", *[F.col(f"rows.{f}").alias(f) for f in fields], *inputs)
+    kept = [*keys, "n", *fields]
+    schema = T.StructType([*[slim.schema[k] for k in kept], T.StructField("sum", T.ArrayType(T.DoubleType()))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            arrays = kernel(batch)
+            bounds = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
+            sums = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(arrays)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], sums], [*kept, "sum"])
+
+    out = slim.mapInArrow(apply, schema)
+    rows = out.select(*keys, "n", F.explode(F.arrays_zip(*fields, "sum")).alias("_r"))
+    return rows.select(*keys, "n", *[F.col(f"_r.{f}").alias(f) for f in [*fields, "sum"]])
+
+
 def add_up(parts: DataFrame, keys: Sequence[str], value: str = "sums") -> DataFrame:
     """Element-wise sum of the arrays of equal keys, combined map-side in the JVM."""
     total = vector_to_array(Summarizer.sum(array_to_vector(F.col(value))))
     return parts.groupBy(*keys).agg(total.alias(value))
 
 
-def unpack(blocks: DataFrame, sums: DataFrame, keys: Sequence[str], width: int = 1) -> DataFrame:
-    """Put the sums back beside their rows: ``keys..., n, row, sum`` with ``row`` the
-    packed struct; ``sum`` is an array when ``width`` is above one."""
-    joined = blocks.select(*keys, "n", "blk", "rows").join(sums, [*keys, "blk"])
-    position = joined.select(*keys, "n", "sums", F.posexplode("rows").alias("_i", "row"))
-    if width == 1:
-        value = F.get(F.col("sums"), F.col("_i"))
-    else:
-        value = F.slice(F.col("sums"), F.col("_i") * width + 1, width)
-    return position.select(*keys, "n", "row", value.alias("sum"))
+def unpack(
+    blocks: DataFrame, sums: DataFrame, keys: Sequence[str], fields: Sequence[str], width: int = 1
+) -> DataFrame:
+    """Put the sums back beside their rows: ``keys..., n, <fields>, sum``; ``sum`` is
+    an array when ``width`` is above one.
+
+    Only the named fields are carried, and they are zipped before they are exploded,
+    so that no row drags the arrays of its block along.
+    """
+    slim = blocks.select(*keys, "n", "blk", *[F.col(f"rows.{f}").alias(f) for f in fields])
+    joined = slim.join(sums.withColumnRenamed("sums", "sum"), [*keys, "blk"])
+    if width > 1:
+        cut = F.transform(
+            F.sequence(F.lit(0), (F.size("sum") / width).cast("int") - 1),
+            lambda i: F.slice(F.col("sum"), i * width + 1, width),
+        )
+        joined = joined.withColumn("sum", cut)
+    rows = joined.select(*keys, "n", F.explode(F.arrays_zip(*fields, "sum")).alias("_r"))
+    return rows.select(*keys, "n", *[F.col(f"_r.{f}").alias(f) for f in [*fields, "sum"]])
 
 
 def matrix(column: pa.ListArray, row: int) -> np.ndarray:

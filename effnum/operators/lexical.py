@@ -62,7 +62,8 @@ def _gram_counts(docs: DataFrame, keys: list[str], id: str, max_n: int) -> DataF
     )
     return (
         docs.select(*keys, id, F.explode(per_order).alias("_o"))
-        .select(*keys, id, F.col("_o.n").alias("n"), F.explode("_o.grams").alias("gram"))
+        .select(*keys, id, F.col("_o.n").alias("n"), F.col("_o.grams").alias("grams"))
+        .select(*keys, id, "n", F.explode("grams").alias("gram"))
         .groupBy(*keys, id, "n", "gram")
         .agg(F.count("*").alias("cnt"))
     )

@@ -13,6 +13,7 @@ Three routes to ``(Zp)_i``, chosen by the kernel and never by the data:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,18 +49,15 @@ def _polynomial(postprocess: str | None, power: bool) -> tuple[float, float, flo
     return (base[0] ** 2, 2 * base[0] * base[1], base[1] ** 2)
 
 
-def _species(
-    df: DataFrame, keys: list[str], id: str, vec: str, weight: str | None, text: str | None, metric: str
-) -> DataFrame:
-    """``keys..., sid, x, w, valid``; cosine rows at length one."""
+def _species(df: DataFrame, keys: list[str], id: str, vec: str, weight: str | None, metric: str) -> DataFrame:
+    """``keys..., sid, x, w``; cosine rows at length one. Rows without a vector are
+    no species."""
     x = F.col(vec).cast("array<double>")
-    valid = tx.non_blank(text) if text else F.lit(True)
-    return df.select(
+    return df.where(F.col(vec).isNotNull()).select(
         *keys,
         F.col(id).alias("sid"),
         (vx.unit(x) if metric == "cosine" else x).alias("x"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
-        valid.alias("valid"),
     )
 
 
@@ -78,17 +76,24 @@ def similarity_mass(
 ) -> DataFrame:
     """``by..., id, p, zp, valid``: what the Hill aggregate needs, one row per species.
 
-    ``dim`` only sizes the blocks; leave it out to assume a few hundred.
+    With ``text``, every group has one more row that says whether all its texts are
+    usable; it has no ``p`` and ``zp`` and is no species. ``dim`` only sizes the blocks; leave it out to assume a few hundred.
     """
     _check(metric, postprocess)
     src, keys = keyed(df, by)
-    species = _species(src, keys, id, vec, weight, text, metric)
+    species = _species(src, keys, id, vec, weight, metric)
     poly = _polynomial(postprocess, power)
     linear = poly is not None and poly[2] == 0 and metric in ("cosine", "l2sq")
     if linear and not mean_adjust:
         out = _linear(species, keys, metric, poly)
     else:
         out = _blocked(species, keys, metric, postprocess, power, mean_adjust, poly, dim or 256)
+    out = out.withColumn("valid", F.lit(True))
+    if text:
+        nothing = F.lit(None).cast("double")
+        flags = src.groupBy(*keys).agg(F.min(tx.non_blank(text)).alias("valid"))
+        sid = F.lit(None).cast(out.schema["sid"].dataType)
+        out = out.unionByName(flags.select(*keys, sid.alias("sid"), nothing.alias("p"), nothing.alias("zp"), "valid"))
     return unkeyed(out.withColumnRenamed("sid", id))
 
 
@@ -109,7 +114,7 @@ def _linear(species: DataFrame, keys: list[str], metric: str, poly: tuple) -> Da
     else:
         rest = s + F.col("_sq") - F.lit(2.0) * product
     zp = p + F.lit(c0) * (F.lit(1.0) - p) + F.lit(c1) * rest
-    return rows.select(*keys, "sid", p.alias("p"), zp.alias("zp"), "valid")
+    return rows.select(*keys, "sid", p.alias("p"), zp.alias("zp"))
 
 
 def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -139,6 +144,7 @@ def _similarity(a, b, metric, postprocess, power, mu=None) -> np.ndarray:
     return z
 
 
+FIELDS = ("sid", "p")  # what a packed species carries beside its vector
 STRIPE = 512  # rows of a block compared at a time, to bound the working matrix
 
 
@@ -245,44 +251,29 @@ def _blocked(
     poly: tuple | None,
     dim: int,
 ) -> DataFrame:
-    present = species.where(F.col("x").isNotNull())
-    totals = present.groupBy(*keys).agg(F.sum("w").alias("_w"))
-    weighted = present.join(totals, keys).withColumn("p", F.col("w") / F.col("_w"))
-    packed = bl.pack(weighted, keys, "sid", ["x", "p", "valid"], bl.rows_per_block(dim))
-    quadratic = poly is not None and metric == "cosine"
-    small = packed.where(F.col("n_blk") == 1)
-    large = packed.where(F.col("n_blk") > 1)
-    whole = _whole_groups(small, keys, metric, postprocess, power, mean_adjust)
-    if quadratic and not mean_adjust:
-        sums = whole.unionByName(_quadratic(large, keys, poly))
-    elif mean_adjust:
-        mu = _off_diagonal_mean(large, keys, metric, postprocess, power, poly)
-        adjusted = large.join(mu, keys, "left")
-        sums = whole.unionByName(
-            _pair_sums(adjusted, keys, metric, postprocess, power, True, True)
-        )
-    else:
-        sums = whole.unionByName(_pair_sums(large, keys, metric, postprocess, power, True, False))
-    rows = bl.unpack(packed, sums, keys).select(
-        *keys,
-        F.col("row.sid").alias("sid"),
-        F.col("row.p").alias("p"),
-        F.col("sum").alias("zp"),
-        F.col("row.valid").alias("valid"),
-    )
-    # Rows without a vector are no species but may still mark their group invalid.
-    nothing = F.lit(None).cast("double")
-    absent = species.where(F.col("x").isNull()).select(
-        *keys, "sid", nothing.alias("p"), nothing.alias("zp"), "valid"
-    )
-    return rows.unionByName(absent)
+    totals = species.groupBy(*keys).agg(F.sum("w").alias("_w"))
+    weighted = species.join(totals, keys).withColumn("p", F.col("w") / F.col("_w"))
+    small, large = bl.packed(weighted, keys, "sid", ["x", "p"], bl.rows_per_block(dim))
+    parts = []
+    if small is not None:
+        parts.append(_whole_groups(small, keys, metric, postprocess, power, mean_adjust))
+    if large is not None and poly is not None and metric == "cosine" and not mean_adjust:
+        parts.append(_quadratic(large, keys, poly))
+    elif large is not None:
+        if mean_adjust:
+            mu = _off_diagonal_mean(large, keys, metric, postprocess, power, poly)
+            large = large.join(mu, keys, "left")
+        sums = _pair_sums(large, keys, metric, postprocess, power, True, mean_adjust)
+        parts.append(bl.unpack(large, sums, keys, FIELDS))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select(*keys, "sid", "p", F.col("sum").alias("zp"))
 
 
 def _whole_groups(small: DataFrame, keys: list[str], metric, postprocess, power, mean_adjust) -> DataFrame:
     """Groups of a single block, at most a few thousand rows: everything at once."""
 
-    def dense(batch: pa.RecordBatch):
-        rows, blk, arrays = [], batch.column("blk").to_pylist(), []
+    def dense(batch: pa.RecordBatch) -> list[np.ndarray]:
+        arrays = []
         for r in range(batch.num_rows):
             x, p = bl.matrix(batch.column("x"), r), bl.vector(batch.column("p"), r)
             mu, n = None, len(x)
@@ -290,32 +281,27 @@ def _whole_groups(small: DataFrame, keys: list[str], metric, postprocess, power,
                 total = _within(x, np.ones(n), metric, postprocess, power, None).sum()
                 mu = (total - n) / (n * (n - 1.0))
             arrays.append(_within(x, p, metric, postprocess, power, mu))
-            rows.append(r)
-        return rows, blk, arrays
+        return arrays
 
-    x, p = F.col("rows.x").alias("x"), F.col("rows.p").alias("p")
-    return bl.run(small.select(*keys, "blk", x, p), keys, dense)
+    return bl.run_rows(small, keys, FIELDS, dense, [F.col("rows.x").alias("x")])
 
 
 def _quadratic(large: DataFrame, keys: list[str], poly: tuple) -> DataFrame:
+    """``(Zp)_i`` from the second moment of the group, one matrix product per block."""
     c0, c1, c2 = poly
 
-    def apply(batch: pa.RecordBatch):
-        rows, blk, arrays = [], batch.column("blk").to_pylist(), []
+    def apply(batch: pa.RecordBatch) -> list[np.ndarray]:
+        arrays = []
         for r in range(batch.num_rows):
             x, p = bl.matrix(batch.column("x"), r), bl.vector(batch.column("p"), r)
             m1, m2 = bl.vector(batch.column("m1"), r), bl.matrix(batch.column("m2"), r)
             s = (x * x).sum(1)
             square = ((x @ m2) * x).sum(1) - p * s * s
             arrays.append(p + c0 * (1 - p) + c1 * (x @ m1 - p * s) + c2 * square)
-            rows.append(r)
-        return rows, blk, arrays
+        return arrays
 
-    x, p = F.col("rows.x").alias("x"), F.col("rows.p").alias("p")
     moments = _second_moment(large, keys)
-    return bl.run(
-        large.select(*keys, "blk", x, p).join(moments, keys), keys, apply
-    )
+    return bl.run_rows(large.join(moments, keys), keys, FIELDS, apply, [F.col("rows.x").alias("x"), "m1", "m2"])
 
 
 def _off_diagonal_mean(large: DataFrame, keys: list[str], metric, postprocess, power, poly) -> DataFrame:
