@@ -1,0 +1 @@
+"""Grouped DataFrame operators."""

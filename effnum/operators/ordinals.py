@@ -30,3 +30,22 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], o
     local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*cols)) - 1
     numbered = ranged.withColumn("_loc", local).join(offsets, [*keys, "_part"])
     return numbered.withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint")).drop("_part", "_loc", "_off")
+
+
+SALTS = 64  # parts a group is ranked in before the final ranking
+
+
+def head(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, salt: str, out: str = "rank"
+) -> DataFrame:
+    """The first ``k`` rows of every group with their one-based ``out``.
+
+    The group is ranked in salted parts first (``salt`` names a column that varies
+    within it), so no task sees more than ``k`` rows per part.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    part = Window.partitionBy(*keys, "_salt").orderBy(*cols)
+    whole = Window.partitionBy(*keys).orderBy(*cols)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    kept = salted.withColumn(out, F.row_number().over(part)).where(F.col(out) <= k).drop("_salt", out)
+    return kept.withColumn(out, F.row_number().over(whole)).where(F.col(out) <= k)

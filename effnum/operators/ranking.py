@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordinals import ordinal
+from .ordinals import head, ordinal
 from .vectors import pair_score
 
-BUCKETS = 256  # parts a corpus is split into for scoring and partial rankings
+BUCKETS = 256  # parts a corpus is split into for scoring
 
 
 def against_queries(
@@ -38,17 +38,7 @@ def top_k(scored: DataFrame, k: int = 1) -> DataFrame:
     if k < 0:
         ranked = ordinal(scored, ["query_id"], best, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
         return ranked.select("query_id", "rank", "id", "score")
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
-    partial = Window.partitionBy("query_id", "_b").orderBy(*best)
-    final = Window.partitionBy("query_id").orderBy(*best)
-    kept = (
-        scored.withColumn("_b", bucket)
-        .withColumn("_r", F.row_number().over(partial))
-        .where(F.col("_r") <= k)
-        .drop("_r", "_b")
-    )
-    ranked = kept.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    return head(scored, ["query_id"], best, k, "id").select("query_id", "rank", "id", "score")
 
 
 def rank_similarity(

@@ -1,0 +1 @@
+"""Score aggregation, profiles and their settings."""

@@ -1,0 +1 @@
+"""Reading and writing corpora, benchmarks, scores and results."""

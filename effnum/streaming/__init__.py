@@ -1,0 +1 @@
+"""Measures over streams."""
