@@ -169,7 +169,7 @@ def fit_growth(
         *keys, F.col("_p.s").alias("_s"), F.col("_p.m").alias("_m")
     )
     fitted = gathered.withColumn("_f", _fit_udf(prefer_asymptotic, bounds)("_s", "_m"))
-    return unkeyed(fitted.select(*keys, "_f.*"))
+    return unkeyed(by, fitted.select(*keys, "_f.*"))
 
 
 def estimate_diversity(
@@ -246,6 +246,7 @@ def estimate_diversity(
     interval = F.when(how.isin("direct", "extrapolation"), F.array(F.col("diversity") - spread, F.col("diversity") + spread))
     params = F.when(F.col("model") == "linear", F.array("a", "c")).when(F.col("model").isNotNull(), F.array("a", "b", "c"))
     return unkeyed(
+        by,
         out.select(
             *keys,
             "diversity",

@@ -68,7 +68,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     )
     src, keys = keyed(present.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")), by)
     ranked = average_ranks(average_ranks(src, keys, "_x", "_rx"), keys, "_y", "_ry")
-    return unkeyed(ranked.groupBy(*keys).agg(F.count("*").alias("n"), _corr("_rx", "_ry").alias("rho")))
+    return unkeyed(by, ranked.groupBy(*keys).agg(F.count("*").alias("n"), _corr("_rx", "_ry").alias("rho")))
 
 
 def _corr(x: str, y: str) -> Column:
@@ -81,7 +81,7 @@ def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """``by..., n, r``: plain correlation."""
     src, keys = keyed(df, by)
     present = src.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return unkeyed(present.groupBy(*keys).agg(F.count("*").alias("n"), _corr(x, y).alias("r")))
+    return unkeyed(by, present.groupBy(*keys).agg(F.count("*").alias("n"), _corr(x, y).alias("r")))
 
 
 def ordinal_correlation(df: DataFrame, by: Sequence[str], id: str, x: str, y: str) -> DataFrame:
@@ -89,7 +89,7 @@ def ordinal_correlation(df: DataFrame, by: Sequence[str], id: str, x: str, y: st
     src, keys = keyed(df.select(*by, id, F.col(x).alias("_x"), F.col(y).alias("_y")), by)
     first = ordinal(src, keys, ["_x", id], "_px")
     second = ordinal(first, keys, ["_y", id], "_py")
-    return unkeyed(second.groupBy(*keys).agg(F.count("*").alias("n"), _corr("_px", "_py").alias("r")))
+    return unkeyed(by, second.groupBy(*keys).agg(F.count("*").alias("n"), _corr("_px", "_py").alias("r")))
 
 
 def calibration(scores: DataFrame, groups: Sequence[str], measured: str, expected: str) -> DataFrame:
@@ -109,6 +109,7 @@ def median_ratio(scores: DataFrame, by: Sequence[str], measured: str, expected:
     """``by..., n, median_ratio`` of measured over expected, expected above zero."""
     src, keys = keyed(scores.where(F.col(expected) > 0), by)
     return unkeyed(
+        by,
         src.groupBy(*keys).agg(
             F.count("*").alias("n"), F.median(F.col(measured) / F.col(expected)).alias("median_ratio")
         )
@@ -125,7 +126,7 @@ def pair_accuracy(df: DataFrame, pair: str, label: str, score: str, by: Sequence
     )
     both = sides.where(F.col("_hi").isNotNull() & F.col("_lo").isNotNull())
     right = (F.col("_hi") > F.col("_lo")).cast("double")
-    return unkeyed(both.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg(right).alias("accuracy")))
+    return unkeyed(by, both.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg(right).alias("accuracy")))
 
 
 def limit_pairs(df: DataFrame, pair: str, k: int) -> DataFrame:

@@ -120,6 +120,7 @@ def _evaluate(
     out = rows.withColumn("status", status)
     label = [F.lit(metric).alias("metric")] if metric else []
     return unkeyed(
+        by,
         out.select(
             *keys,
             *label,
@@ -136,6 +137,7 @@ def mean_similarity(zp: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the similarity matrix per group, diagonal included; empty groups 0."""
     df, keys = keyed(zp, by)
     return unkeyed(
+        by,
         df.groupBy(*keys).agg(
             F.coalesce(F.sum(F.col("p") * F.col("zp")), F.lit(0.0)).alias("similarity")
         )

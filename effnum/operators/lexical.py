@@ -38,7 +38,7 @@ def distinct_n(
         F.count("gram").alias("n_total"), distinct.cast("bigint").alias("n_distinct")
     )
     ratio = F.coalesce(F.try_divide(F.col("n_distinct"), F.col("n_total")), F.lit(0.0))
-    return unkeyed(out.withColumn("value", ratio))
+    return unkeyed(by, out.withColumn("value", ratio))
 
 
 def type_token_ratio(
@@ -164,7 +164,7 @@ def document_bleu(
         .join(scored, [*keys, id])
     )
     bleu = F.when(F.col("_shared") > 0, brevity * precision).otherwise(F.lit(0.0))
-    return unkeyed(out.select(*keys, id, bleu.alias("bleu")))
+    return unkeyed(by, out.select(*keys, id, bleu.alias("bleu")))
 
 
 def self_bleu(
@@ -189,4 +189,4 @@ def self_bleu(
         .groupBy(*keys)
         .agg(F.count("_b").alias("n_docs"), F.coalesce(F.avg("_b"), F.lit(0.0)).alias("value"))
     )
-    return unkeyed(out)
+    return unkeyed(by, out)

@@ -122,7 +122,7 @@ def phonemes(
     toks = tx.tokens(tx.clean_text(text))
 
     def letters(word: Column) -> Column:
-        return F.filter(F.split(F.upper(word), ""), lambda c: c != "")
+        return F.filter(F.split(word, ""), lambda c: c != "")
 
     if lexicon is None:
         phones = F.flatten(F.transform(toks, letters)) if unknown == "spell" else F.array().cast("array<string>")
@@ -179,6 +179,7 @@ def rhythmic_diversity(
     flagged = _with_validity(codes, src, keys, id, text)
     options.setdefault("metric_name", "rhythmic")
     return unkeyed(
+        by,
         sequence_diversity(flagged, keys, "rhythm", pad="N" if pad else None, valid=F.col("valid"), **options)
     )
 
@@ -203,6 +204,7 @@ def phonemic_diversity(
     flagged = _with_validity(strings, src, keys, id, text).withColumn("phonemes", chars)
     options.setdefault("metric_name", "phonemic")
     return unkeyed(
+        by,
         sequence_diversity(flagged, keys, "phonemes", pad=" " if pad else None, valid=F.col("valid"), **options)
     )
 

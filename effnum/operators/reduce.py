@@ -71,4 +71,4 @@ def pca(
         lambda a: F.aggregate(F.zip_with(a, centred, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t),
     )
     value = F.when(F.col("_axes").isNull(), F.col("_x")).otherwise(projected)
-    return unkeyed(joined.withColumn(out, value).drop("_x", "_mean", "_axes"))
+    return unkeyed(by, joined.withColumn(out, value).drop("_x", "_mean", "_axes"))

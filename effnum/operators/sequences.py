@@ -313,7 +313,7 @@ def similarity_mass(
         nothing.alias("p"), nothing.alias("zp"), "valid",
     )
     out = raw.withColumn("valid", F.lit(True)).unionByName(marks)
-    return unkeyed(out.withColumnRenamed("_f", seq))
+    return unkeyed(by, out.withColumnRenamed("_f", seq))
 
 
 def sequence_diversity(
@@ -342,7 +342,7 @@ def pad_to_longest(df: DataFrame, by: Sequence[str], seq: str, symbol: str) -> D
     longest = src.groupBy(*keys).agg(F.max(F.size(seq)).alias("_len"))
     missing = F.col("_len") - F.size(seq)
     padded = F.concat(F.col(seq), F.array_repeat(F.lit(symbol), missing))
-    return unkeyed(src.join(longest, keys).withColumn(seq, padded).drop("_len"))
+    return unkeyed(by, src.join(longest, keys).withColumn(seq, padded).drop("_len"))
 
 
 def tags_to_symbols(df: DataFrame, by: Sequence[str], id: str, seq: str) -> DataFrame:
@@ -359,7 +359,7 @@ def tags_to_symbols(df: DataFrame, by: Sequence[str], id: str, seq: str) -> Data
     strings = joined.groupBy(*keys, id).agg(F.array_join(ordered["symbol"], "").alias("symbols"))
     # Documents without tags keep an empty string.
     out = src.select(*keys, id).join(strings, [*keys, id], "left")
-    return unkeyed(out.withColumn("symbols", F.coalesce("symbols", F.lit(""))))
+    return unkeyed(by, out.withColumn("symbols", F.coalesce("symbols", F.lit(""))))
 
 
 def alignment_score(a: str, b: str, scores: tuple[float, float, float] = LCS) -> Column:

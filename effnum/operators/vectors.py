@@ -94,7 +94,7 @@ def similarity_mass(
         flags = src.groupBy(*keys).agg(F.min(tx.non_blank(text)).alias("valid"))
         sid = F.lit(None).cast(out.schema["sid"].dataType)
         out = out.unionByName(flags.select(*keys, sid.alias("sid"), nothing.alias("p"), nothing.alias("zp"), "valid"))
-    return unkeyed(out.withColumnRenamed("sid", id))
+    return unkeyed(by, out.withColumnRenamed("sid", id))
 
 
 def _linear(species: DataFrame, keys: list[str], metric: str, poly: tuple) -> DataFrame:
@@ -384,7 +384,7 @@ def mean_cosine(df: DataFrame, by: Sequence[str] = (), vec: str = "vec") -> Data
     )
     n = F.col("n").cast("double")
     value = F.try_divide(vx.squared_norm("_m") - F.col("_s"), n * (n - 1))
-    return unkeyed(sums.select(*keys, "n", value.alias("mean_cosine")))
+    return unkeyed(by, sums.select(*keys, "n", value.alias("mean_cosine")))
 
 
 def pair_score(a: str | Column, b: str | Column, metric: str, postprocess: str | None, power: bool) -> Column:
@@ -434,6 +434,7 @@ def pairs(
     same = F.col("_a.sid") == F.col("_b.sid")
     score = pair_score(F.col("_a.x"), F.col("_b.x"), metric, postprocess, power)
     return unkeyed(
+        by,
         long.select(
             *keys,
             F.col("_a.sid").alias("i"),

@@ -51,7 +51,7 @@ def assemble(scores: DataFrame, by: Sequence[str] = (), normalized: bool = True)
     ]
     wide = src.groupBy(*keys).agg(*per_metric)
     profile = F.array(*[F.col(m) for m in PROFILE_METRICS])
-    return unkeyed(wide.select(*keys, (normalize(profile) if normalized else profile).alias("profile")))
+    return unkeyed(by, wide.select(*keys, (normalize(profile) if normalized else profile).alias("profile")))
 
 
 def compute_scores(
@@ -206,4 +206,4 @@ def windowed_profiles(
     out = home.join(profiles, [*keys, "_start"], "left")
     zeros = F.array(*[F.lit(0.0)] * len(PROFILE_METRICS))
     value = F.when(F.col("_in"), F.coalesce("profile", zeros)).otherwise(zeros)
-    return unkeyed(out.select(*keys, "doc_id", value.alias("profile")))
+    return unkeyed(by, out.select(*keys, "doc_id", value.alias("profile")))

@@ -42,9 +42,9 @@ def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(ALL, F.hash(F.col(f"`{df.columns[0]}`")) * F.lit(0)), [ALL]
 
 
-def unkeyed(df: DataFrame) -> DataFrame:
-    """Drop the stand-in key again."""
-    return df.drop(ALL)
+def unkeyed(by: Sequence[str], df: DataFrame) -> DataFrame:
+    """Drop the stand-in key again, unless the caller's own keys hold it."""
+    return df if ALL in by else df.drop(ALL)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
