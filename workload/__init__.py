@@ -1,6 +1,6 @@
 """The registered queries, one module per family of operators."""
 
-from . import lexical, scores, structures, text, vectors
+from . import jobs, lexical, scores, structures, text, vectors
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "lexical", "scores", "structures", "text", "vectors"]
+__all__ = ["QUERIES", "SQL", "jobs", "lexical", "scores", "structures", "text", "vectors"]
