@@ -32,19 +32,24 @@ def build_session(app: str = "effnum", master: str | None = None, **conf: str) -
 
 
 def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Return ``df`` with at least one grouping column.
+    """Rename the grouping columns to ``_k0, _k1, ...`` so that they cannot clash with
+    the operators' own columns, and return the new names.
 
-    The stand-in key is computed from a column, not a literal: Catalyst would
-    fold an equality of two literals and turn the join on it into a cross join.
+    Without grouping columns a stand-in is added. It is computed from a column, not a
+    literal: Catalyst would fold an equality of two literals and turn the join on it
+    into a cross join.
     """
-    if by:
-        return df, list(by)
-    return df.withColumn(ALL, F.hash(F.col(f"`{df.columns[0]}`")) * F.lit(0)), [ALL]
+    if not by:
+        return df.withColumn(ALL, F.hash(F.col(f"`{df.columns[0]}`")) * F.lit(0)), [ALL]
+    names = {k: f"_k{i}" for i, k in enumerate(by)}
+    return df.withColumnsRenamed(names), list(names.values())
 
 
 def unkeyed(by: Sequence[str], df: DataFrame) -> DataFrame:
-    """Drop the stand-in key again, unless the caller's own keys hold it."""
-    return df if ALL in by else df.drop(ALL)
+    """Give the grouping columns their names back, or drop the stand-in."""
+    if not by:
+        return df.drop(ALL)
+    return df.withColumnsRenamed({f"_k{i}": k for i, k in enumerate(by)})
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
