@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, partitions
 
 # A block of vectors is about this many bytes; a pair of blocks is one kernel call.
 BLOCK_BYTES = 2 << 20
@@ -78,11 +78,6 @@ def packed(*args, **kwargs) -> tuple[DataFrame | None, DataFrame | None]:
     return small, large
 
 
-def partitions(df: DataFrame) -> int:
-    """The session's shuffle partition count."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def block_pairs(blocks: DataFrame, keys: Sequence[str], left: list[Column], right: list[Column]) -> DataFrame:
     """Every unordered pair of different blocks of a group, once.
 
