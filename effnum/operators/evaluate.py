@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keyed, unkeyed
+from ..session import constant, keyed, unkeyed
 from .ordinals import ordinal
 
 Metric = Callable[[DataFrame, list[str]], DataFrame]
@@ -191,8 +191,8 @@ def max_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     tops = df.agg(*[F.max(c).alias(f"_max_{c}") for c in columns])
     key = "_one"
     # One row on the right: joined on a constant that Catalyst does not fold.
-    left = df.withColumn(key, F.hash(F.col(columns[0])) * F.lit(0))
-    right = tops.withColumn(key, F.hash(F.col(f"_max_{columns[0]}")) * F.lit(0))
+    left = df.withColumn(key, constant(columns[0]))
+    right = tops.withColumn(key, constant(f"_max_{columns[0]}"))
     out = left.join(F.broadcast(right), key).drop(key)
     for c in columns:
         out = out.withColumn(c, F.try_divide(F.col(c), F.col(f"_max_{c}"))).drop(f"_max_{c}")

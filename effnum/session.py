@@ -31,6 +31,12 @@ def build_session(app: str = "effnum", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def constant(column: str) -> Column:
+    """Zero for every row, in a form that Catalyst does not fold (as it does a literal
+    or a product with zero)."""
+    return F.pmod(F.hash(F.col(f"`{column}`")), F.lit(1))
+
+
 def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Rename the grouping columns to ``_k0, _k1, ...`` so that they cannot clash with
     the operators' own columns, and return the new names.
@@ -40,7 +46,7 @@ def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     into a cross join.
     """
     if not by:
-        return df.withColumn(ALL, F.hash(F.col(f"`{df.columns[0]}`")) * F.lit(0)), [ALL]
+        return df.withColumn(ALL, constant(df.columns[0])), [ALL]
     names = {k: f"_k{i}" for i, k in enumerate(by)}
     return df.withColumnsRenamed(names), list(names.values())
 

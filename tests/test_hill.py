@@ -192,3 +192,13 @@ def test_pca_matches_svd(spark):
     want = (x - x.mean(0)) @ vt[:2].T
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-8)
     assert len(pca(df, [], n_components=9).first().pca) == 4
+
+
+def test_no_cross_join_without_keys(spark):
+    from effnum.operators import evaluate
+
+    df = spark.createDataFrame([(i, [float(i), 1.0], float(i)) for i in range(5)], "id long, vec array<double>, x double")
+    frames = [vectors.similarity_mass(df, []), evaluate.max_scaled(df.select("id", "x"), ["x"])]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
