@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effnum.llm import bpe, line_dedup, mixing, toxicity
+from effnum.llm import bpe, line_dedup, mixing, near_duplicates, toxicity
 from effnum.llm.common import read
 
 

@@ -70,3 +70,35 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values[offsets[i]:offsets[i + 1]]``; empty segments give zero."""
     total = np.concatenate([np.zeros(1), np.cumsum(values, dtype=np.float64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+# Powers of an odd number and of its inverse modulo 2**64, for hashes of words by prefix sums.
+_ODD = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(1 << 16, _ODD, np.uint64))
+_INVERSE = np.cumprod(np.full(1 << 16, pow(_ODD, -1, 1 << 64), np.uint64))
+
+
+def _power(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[0] ** (at + 1)`` for positions of any size."""
+    out = table[at & 0xFFFF]
+    top = int(at.max(initial=0)) >> 16
+    if top:
+        steps = np.cumprod(np.concatenate([[np.uint64(1)], np.full(top, table[0xFFFF], np.uint64)]))
+        out = out * steps[at >> 16]
+    return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (SplitMix64's last steps)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_in(text: np.ndarray, rim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of the runs outside ``rim``; ``text`` begins and ends with rim."""
+    start = np.flatnonzero(rim[:-1] & ~rim[1:]) + 1
+    end = np.flatnonzero(~rim[:-1] & rim[1:]) + 1
+    run = np.concatenate([[np.uint64(0)], np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _power(_POWERS, np.arange(len(text))))])
+    word = (run[end] - run[start]) * _power(_INVERSE, start)
+    return start, end, mixed(word + (end - start).astype(np.uint64))

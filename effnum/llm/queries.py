@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, language, line_dedup, mixing, toxicity
+from . import bpe, forest, language, line_dedup, mixing, near_duplicates, topk_pivot, toxicity
 from .common import read
 
 QUERIES = {
+    "op1_topk_pivot": lambda spark, d: topk_pivot.digest(read(spark, d, "embeddings")),
     "op3_bpe_round_trip": lambda spark, d: bpe.round_trip(read(spark, d, "documents"), bpe.vocabulary()),
+    "op5_jaccard_join": lambda spark, d: near_duplicates.digest(read(spark, d, "documents")),
     "op6_line_dedup": lambda spark, d: line_dedup.digest(read(spark, d, "documents")),
     "op7_mix_sources": lambda spark, d: mixing.digest(read(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language.digest(read(spark, d, "documents")),
+    "op9_forest_search": lambda spark, d: forest.digest(read(spark, d, "embeddings")),
     "op10_toxicity": lambda spark, d: toxicity.digest(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 
-SQL = {"op6_line_dedup": line_dedup.SQL, "op7_mix_sources": mixing.SQL}
+SQL = {"op1_topk_pivot": topk_pivot.SQL, "op6_line_dedup": line_dedup.SQL, "op7_mix_sources": mixing.SQL}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, flat, fold, row_groups
+from .common import bounded_sample, flat, fold, row_groups, words_in
 
 PER_LABEL = 3000
 AT_MOST = 6000
@@ -68,35 +68,15 @@ def gram_codes(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, (mixed >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-# Powers of an odd number and of its inverse modulo 2**64, for hashes of words by prefix sums.
-_ODD = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(1 << 16, _ODD, np.uint64))
-_INVERSE = np.cumprod(np.full(1 << 16, pow(_ODD, -1, 1 << 64), np.uint64))
-
-
-def _power(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``table[0] ** (at + 1)`` for positions of any size."""
-    out = table[at & 0xFFFF]
-    top = int(at.max(initial=0)) >> 16
-    if top:
-        steps = np.cumprod(np.concatenate([[np.uint64(1)], np.full(top, table[0xFFFF], np.uint64)]))
-        out = out * steps[at >> 16]
-    return out
-
-
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's words once, in order, with a border before and after each word; and the new offsets."""
     n = len(offsets) - 1
     text = np.full(len(data) + n + 1, 32, np.uint8)
     text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = _FOLD[data]
     edges = offsets + np.arange(n + 1)
-    rim = text == 32
-    start = np.flatnonzero(rim[:-1] & ~rim[1:]) + 1
-    end = np.flatnonzero(~rim[:-1] & rim[1:]) + 1
+    start, end, word = words_in(text, text == 32)
     row = np.searchsorted(edges, start, side="right") - 1
-    run = np.concatenate([[np.uint64(0)], np.cumsum(text.astype(np.uint64) * _power(_POWERS, np.arange(len(text))))])
-    word = (run[end] - run[start]) * _power(_INVERSE, start)
-    key = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + row.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    key = word + row.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     first = np.sort(np.unique(key, return_index=True)[1])
     start, end, row = start[first], end[first], row[first]
     size = end - start + 1  # the word and the border before it
