@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, forest, language, line_dedup, mixing, near_duplicates, topk_pivot, toxicity
+from . import bpe, forest, html_blocks, language, line_dedup, mixing, near_duplicates, topk_pivot, toxicity, url_trees
 from .common import read
 
 QUERIES = {
     "op1_topk_pivot": lambda spark, d: topk_pivot.digest(read(spark, d, "embeddings")),
+    "op2_main_text": lambda spark, d: html_blocks.digest(read(spark, d, "pages")),
     "op3_bpe_round_trip": lambda spark, d: bpe.round_trip(read(spark, d, "documents"), bpe.vocabulary()),
+    "op4_url_filter": lambda spark, d: url_trees.judge(read(spark, d, "pages")),
     "op5_jaccard_join": lambda spark, d: near_duplicates.digest(read(spark, d, "documents")),
     "op6_line_dedup": lambda spark, d: line_dedup.digest(read(spark, d, "documents")),
     "op7_mix_sources": lambda spark, d: mixing.digest(read(spark, d, "documents")),
