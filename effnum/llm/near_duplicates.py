@@ -9,9 +9,10 @@ share a signature; what shares one is then compared exactly.
 
 Equal sets are one set with many documents from the start, so exact copies cost nothing
 further. No pairs of a bucket are written out: first every set is compared with the
-smallest set of its buckets only (a star), which joins almost every group at once;
-buckets whose sets then still lie in different components are compared block by block in
-tasks, and only across components, so no link between different sets is lost. Links,
+smallest set of one of its buckets (a star), which joins almost every group at once.
+Buckets that then still lie in different components are compared block by block in
+tasks, only across components, by counts of elements that bound the difference from
+below; what passes is compared exactly, so no link between different sets is lost. Links,
 components and sets stay in DataFrames; what goes to the driver is counts and a bit
 filter of fixed size that only saves work.
 
@@ -39,6 +40,7 @@ from .vectors import packed
 SHINGLE = 5
 SHARE = (80, 100)  # intersection by union
 PIECE = 1 << 20  # bytes hashed at a time
+CELLS = 256  # ranges of the hashed domain in which elements are counted
 BLOCK = 64  # sets of a block in the comparison across components
 FILTER_BITS = 1 << 26
 
@@ -175,19 +177,23 @@ def _groups(column: pa.Array):
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``d, s, n``: id, set and number of shingles of every document."""
+    """``d, s, n, k``: id, set and number of shingles of every document, and how many of them
+    lie in each of ``CELLS`` equal ranges of the hashed domain (up to 255)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text"))
 
     def run(batches):
         for b in batches:
-            s, n = [], []
+            s, n, k = [], [], []
             for _, (h, edges) in _groups(b.column(1)):
                 s.append(set_ids(h, edges))
                 n.append(np.diff(edges))
+                cell = np.repeat(np.arange(len(n[-1])), n[-1]) * CELLS + (h >> np.uint64(56)).astype(np.int64)
+                counts = np.minimum(np.bincount(cell, minlength=len(n[-1]) * CELLS), 255).astype(np.uint8)
+                k += [c.tobytes() for c in counts.reshape(-1, CELLS)]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cat(s)), pa.array(cat(n))], ["d", "s", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cat(s)), pa.array(cat(n)), pa.array(k, pa.binary())], ["d", "s", "n", "k"])
 
-    return rows.mapInArrow(run, "d long, s long, n long")
+    return rows.mapInArrow(run, "d long, s long, n long, k binary")
 
 
 def signature_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -253,11 +259,34 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SHARE[1] >= (len(a) + len(b) - both) * SHARE[0]
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar."""
+def _near(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (with a, b) that may be similar by the cell counts (s, n, k)."""
+    side = lambda x: counts.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "na", "nb", "ka", "kb")
+    own = pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            get = lambda n: batch.column(n).to_numpy()  # noqa: B023, E731
+            ka, kb = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for n in ("ka", "kb"))
+            keep = may_link(np.abs(ka - kb).sum(1, dtype=np.int64), get("na") + get("nb"))
+            yield batch.select(own).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema)
+
+
+def may_link(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Similar sets differ in at most this share of both sizes together."""
+    return apart * (SHARE[0] + SHARE[1]) <= sizes * (SHARE[1] - SHARE[0])
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar; their texts are hashed again for it."""
+    ends = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+    sets = cut_lineage(_packed_sets(docs, text, ends))
     left = sets.select(F.col("s").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("s").alias("b"), F.col("h").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
 
     def run(batches):
         for batch in batches:
@@ -288,67 +317,71 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("s", "c")
 
 
-def _across(live: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different components within the buckets ``live`` (g, s), block by block."""
+def _open(live: DataFrame, found: DataFrame) -> DataFrame:
+    """``g, s, c, lead`` of the buckets of ``live`` (g, s) that hold several components still.
+
+    Buckets with the same members are kept once.
+    """
     own = live.select("g", "s").join(found, "s", "left").select("g", "s", F.coalesce("c", "s").alias("c"))
     bucket = (
         own.groupBy("g")
-        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
+        .agg(
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("s").alias("lead"), F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("y"),
+        )
         .where(F.col("lo") != F.col("hi"))
     )
-    # Buckets with the same members are looked at once.
-    once = bucket.groupBy("sum", "n").agg(F.min("g").alias("g")).select("g")
-    rows = cut_lineage(own.join(once, "g"))
-    if rows.isEmpty():
-        return rows.select(F.col("s").alias("a"), F.col("s").alias("b"))
+    once = bucket.groupBy("x", "y", "n").agg(F.min("g").alias("g"), F.first("lead").alias("lead"))
+    return cut_lineage(own.join(once.select("g", "lead"), "g"))
+
+
+def _across(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components of one bucket (g, s, c) that may be similar.
+
+    Buckets are cut into blocks, and blocks are compared with blocks by their cell counts:
+    two sets differ in at least as many elements as their counts do, so nothing similar
+    is left out, and little else is let through.
+    """
 
     def block(batches):
         for (g,), t in packed(batches, ("g",), BLOCK):
-            h = t.column("h").to_pylist()
+            get = lambda n: t.column(n).to_numpy()  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g]), pa.array([t.column("s")[0].as_py()]), pa.array([t.column("s").to_pylist()], pa.list_(pa.int64())),
-                 pa.array([t.column("c").to_pylist()], pa.list_(pa.int64())), pa.array([h], pa.list_(pa.binary()))],
-                ["g", "k", "ss", "cs", "hs"],
+                [pa.array([g]), pa.array([t.column("s")[0].as_py()]), pa.array([int(get("c")[0])]), pa.array([int(get("c")[-1])]),
+                 *[pa.array([get(x).tobytes()], pa.binary()) for x in ("s", "c", "n")],
+                 pa.array([b"".join(t.column("k").to_pylist())], pa.binary())],
+                ["g", "at", "lo", "hi", "ss", "cs", "ns", "ks"],
             )
 
     blocks = cut_lineage(
-        rows.join(sets, "s")
+        rows.select("g", "s", "c").join(counts, "s")
         .repartitionByRange("g", "c", "s")
         .sortWithinPartitions("g", "c", "s")
-        .select("g", "s", "c", "h")
-        .mapInArrow(block, "g long, k long, ss array<long>, cs array<long>, hs array<binary>")
+        .select("g", "s", "c", "n", "k")
+        .mapInArrow(block, "g long, at long, lo long, hi long, ss binary, cs binary, ns binary, ks binary")
     )
-    left = blocks.withColumnsRenamed({x: f"{x}1" for x in ("k", "ss", "cs", "hs")})
-    pairs = left.join(blocks, "g").where(F.col("k1") <= F.col("k"))
+    names = ("ss", "cs", "ns", "ks")
+    left = blocks.withColumnsRenamed({x: f"{x}1" for x in ("at", "lo", "hi", *names)})
+    same = (F.col("lo1") == F.col("hi1")) & (F.col("lo") == F.col("hi")) & (F.col("lo1") == F.col("lo"))
+    # Blocks are ordered by component and set, so each pair of blocks comes once.
+    order = (F.col("lo1") < F.col("lo")) | ((F.col("lo1") == F.col("lo")) & (F.col("at1") <= F.col("at")))
+    pairs = left.join(blocks, "g").where(order & ~same).select(*[f"{x}1" for x in names], *names)
 
     def run(batches):
         for b in batches:
+            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in range(b.num_rows):
-                row = {n: b.column(n)[r].as_py() for n in ("ss1", "cs1", "hs1", "ss", "cs", "hs")}
-                one = [np.frombuffer(x, np.uint64) for x in row["hs1"]]
-                two = [np.frombuffer(x, np.uint64) for x in row["hs"]]
-                x, y = [], []
-                for i, j in common_pairs(one, two):
-                    if row["cs1"][i] != row["cs"][j]:
-                        x.append(row["ss1"][i])
-                        y.append(row["ss"][j])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                s1, c1, n1, s2, c2, n2 = (np.frombuffer(b.column(n)[r].as_py(), np.int64) for n in ("ss1", "cs1", "ns1", *names[:3]))
+                k1, k2 = (np.frombuffer(b.column(n)[r].as_py(), np.uint8).reshape(-1, CELLS).astype(np.int16) for n in ("ks1", "ks"))
+                apart = np.abs(k1[:, None] - k2[None]).sum(2, dtype=np.int64)
+                i, j = np.nonzero(may_link(apart, n1[:, None] + n2[None]) & (c1[:, None] != c2[None]))
+                x.append(np.maximum(s1[i], s2[j]))
+                y.append(np.minimum(s1[i], s2[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def common_pairs(one: list[np.ndarray], two: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Places of similar sets in two short lists, by one product of their incidence matrices."""
-    shared = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)), assume_unique=True)
-    both = np.zeros((len(one), len(two)))
-    for lo in range(0, len(shared), 1 << 14):
-        part = shared[lo : lo + (1 << 14)]
-        left, right = (np.stack([np.isin(part, s, assume_unique=True) for s in x]).astype(np.float32) for x in (one, two))
-        both += left @ right.T
-    a, b = np.array([len(s) for s in one])[:, None], np.array([len(s) for s in two])[None, :]
-    return list(zip(*np.nonzero(both * SHARE[1] >= (a + b - both) * SHARE[0])))
-
-
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``d, n, first``: each document's number of shingles and the smallest id of its component."""
     rows = cut_lineage(document_sets(docs, doc_id, text))
@@ -360,26 +393,22 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .select("g", "s", "lead")
         .distinct()
     )
-    sets = cut_lineage(_packed_sets(docs, text, live.select("s").distinct()))
+    counts = rows.join(live.select("s").distinct(), "s", "left_semi").select("s", "n", "k").dropDuplicates(["s"])
+    counts = cut_lineage(counts)
     star = live.where(F.col("s") != F.col("lead")).groupBy(F.col("s").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("w"))
-    star = cut_lineage(star)
-    # First the partner with which a set shares most signatures, then what is still apart.
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
-    links = cut_lineage(_linked(best, sets))
+    # First, of the partners that may be similar, the one with which a set shares most signatures.
+    best = _near(star, counts).groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
+    tested = cut_lineage(best)
+    links = cut_lineage(_linked(tested, docs, text))
     found = components(links)
-    apart = lambda pairs: (
-        pairs.join(found.select(F.col("s").alias("a"), F.col("c").alias("ca")), "a", "left")
-        .join(found.select(F.col("s").alias("b"), F.col("c").alias("cb")), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        .select("a", "b")
-    )
-    more = cut_lineage(_linked(apart(star.select("a", "b").join(best, ["a", "b"], "left_anti")), sets))
-    if not more.isEmpty():
-        links = links.union(more)
-        found = components(links)
-    rest = cut_lineage(_across(live, found, sets))
-    if not rest.isEmpty():
-        found = components(links.union(rest))
+    # Then the buckets whose sets still lie in different components.
+    apart = _open(live, found)
+    if not apart.isEmpty():
+        pairs = cut_lineage(_across(apart, counts).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            more = cut_lineage(_linked(pairs, docs, text))
+            if not more.isEmpty():
+                found = components(links.union(more))
     joined = rows.groupBy("s").agg(F.min("d").alias("first")).join(found, "s", "left")
     named = joined.withColumn("c", F.coalesce("c", "s"))
     lowest = named.groupBy("c").agg(F.min("first").alias("first"))
