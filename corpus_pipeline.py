@@ -19,17 +19,17 @@ from effnum.llm.common import read
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the cut; trained on the labels of these documents."""
-    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), out="_toxic")
-    return scored.where(F.col("_toxic") < toxicity.CUT).drop("_toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), out="__llm_toxic")
+    return scored.where(F.col("__llm_toxic") < toxicity.CUT).drop("__llm_toxic")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that a later document holds too; ``n_chars`` follows the text."""
     cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    changed = F.col("_n_dropped") > 0
+    changed = F.col("__llm_n_dropped") > 0
     values = {
-        "text": F.when(changed, F.col("_kept")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars")),
+        "text": F.when(changed, F.col("__llm_kept")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("__llm_kept").cast("long")).otherwise(F.col("n_chars")),
     }
     return cut.select(*[(values[c].alias(c) if c in values else F.col(c)) for c in docs.columns])
 

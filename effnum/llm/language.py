@@ -208,8 +208,8 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
             {"lang_pred": names[np.where(lettered, best, len(net.languages))], "score": np.where(lettered, score, 0.0)}
         )
 
-    found = docs.withColumn("_g", guess(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_g.lang_pred"), "score": F.col("_g.score")}).drop("_g")
+    found = docs.withColumn("__llm_g", guess(F.col(text)))
+    return found.withColumns({"lang_pred": F.col("__llm_g.lang_pred"), "score": F.col("__llm_g.score")}).drop("__llm_g")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from ..session import cut_lineage
 from .common import lower_ascii
 
 BLANKS = " \t\n\x0b\x0c\r"
+SALTS = 16  # parts in which the documents of one line meet its first document
 
 
 def lines_of(text: Column) -> Column:
@@ -62,8 +63,11 @@ def keep_bitmaps(
     firsts = (
         held.groupBy("h1", "h2").agg(F.max("d").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     )
+    # A line of a third of all documents must not meet its first document in one task.
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)))
+    spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     lost = (
-        held.join(firsts, ["h1", "h2"])
+        salted.join(spread, ["h1", "h2", "salt"])
         .where(~F.col("d").eqNullSafe(F.col("first")))
         .select("d", F.explode("at").alias("at"))
         .select("d", "at.t", "at.pos")
@@ -89,28 +93,28 @@ def kept_runs(dropped: Column, n_lines: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows of ``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept`` (the text that stays)."""
-    b = bitmaps.withColumnsRenamed({"d": "_d", "t": "_t", "n_dropped": "_n_dropped", "dropped": "_dropped"})
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(
-        b, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left"
+    """All rows of ``docs`` with ``__llm_n_lines``, ``__llm_n_dropped`` and ``__llm_kept`` (the text that stays)."""
+    b = bitmaps.withColumnsRenamed({"d": "__llm_d", "t": "__llm_t", "n_dropped": "__llm_n_dropped", "dropped": "__llm_dropped"})
+    joined = docs.withColumn("__llm_h", F.xxhash64(text)).join(
+        b, F.col(doc_id).eqNullSafe(F.col("__llm_d")) & (F.col("__llm_h") == F.col("__llm_t")), "left"
     )
     lines = lines_of(F.col(text))
-    parts = F.transform(kept_runs(F.col("_dropped"), F.size(lines)), lambda r: F.slice(lines, r["start"] + 1, r["length"]))
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
+    parts = F.transform(kept_runs(F.col("__llm_dropped"), F.size(lines)), lambda r: F.slice(lines, r["start"] + 1, r["length"]))
+    kept = F.when(F.col("__llm_dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
         F.array_join(F.flatten(parts), "\n")
     )
     return joined.withColumns(
-        {"_n_lines": F.size(lines), "_n_dropped": F.coalesce("_n_dropped", F.lit(0)), "_kept": kept}
-    ).drop("_h", "_d", "_t", "_dropped")
+        {"__llm_n_lines": F.size(lines), "__llm_n_dropped": F.coalesce("__llm_n_dropped", F.lit(0)), "__llm_kept": kept}
+    ).drop("__llm_h", "__llm_d", "__llm_t", "__llm_dropped")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     cut = apply_bitmaps(docs, keep_bitmaps(docs))
     return cut.select(
         "doc_id",
-        F.col("_n_lines").cast("long").alias("n_lines"),
-        F.col("_n_dropped").cast("long").alias("n_dropped"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
+        F.col("__llm_n_lines").cast("long").alias("n_lines"),
+        F.col("__llm_n_dropped").cast("long").alias("n_dropped"),
+        F.sha2("__llm_kept", 256).alias("kept_sha256"),
     )
 
 

@@ -27,6 +27,7 @@ from .common import WORD
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 7
+SALTS = 32
 DIGITS = 3  # hex digits of the md5 order that name a slice
 
 
@@ -60,7 +61,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies`` (how often the mix takes the document)."""
+    """``docs`` with ``__llm_size, __llm_source_size, __llm_target, __llm_copies`` (how often the mix takes the document)."""
     narrow = cut_lineage(docs.select(F.col(source).alias("src"), n_words(text).alias("size"), stable_order(seed, doc_id).alias("o")))
     plan = cut_lineage(
         targets(narrow)
@@ -92,27 +93,30 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         plan.alias("p")
         .join(cut.alias("c"), F.col("p.src").eqNullSafe(F.col("c.src")), "left")
         # A slice where nothing is taken ends just before its first document.
-        .select(F.col("p.src").alias("_src"), "source_size", "target", "whole", F.coalesce("c.cut", "c.s", F.lit("")).alias("_cut"))
-        .withColumnsRenamed({"source_size": "_source_size", "target": "_target", "whole": "_whole"})
+        .select(F.col("p.src").alias("__llm_src"), "source_size", "target", "whole", F.coalesce("c.cut", "c.s", F.lit("")).alias("__llm_cut"))
+        .withColumnsRenamed({"source_size": "__llm_source_size", "target": "__llm_target", "whole": "__llm_whole"})
     )
-    out = docs.withColumn("_size", n_words(text)).join(cuts, F.col(source).eqNullSafe(F.col("_src")), "left")
-    extra = (stable_order(seed, doc_id) <= F.col("_cut")).cast("long")
-    return out.withColumn("_copies", F.col("_whole") + extra).drop("_src", "_whole", "_cut")
+    # A source with a third of all documents meets its cut in SALTS parts.
+    spread = cuts.withColumn("__llm_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = docs.withColumns({"__llm_size": n_words(text), "__llm_salt": F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS))})
+    out = salted.join(spread, (F.col("__llm_salt") == F.col("__llm_part")) & F.col(source).eqNullSafe(F.col("__llm_src")), "left")
+    extra = (stable_order(seed, doc_id) <= F.col("__llm_cut")).cast("long")
+    return out.withColumn("__llm_copies", F.col("__llm_whole") + extra).drop("__llm_src", "__llm_whole", "__llm_cut", "__llm_salt", "__llm_part")
 
 
 def repeat(docs: DataFrame, **names: str) -> DataFrame:
     """The mixed corpus itself: each row of ``docs`` as often as the mix takes it."""
-    mixed = copies(docs, **names).where(F.col("_copies") > 0)
-    return mixed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    mixed = copies(docs, **names).where(F.col("__llm_copies") > 0)
+    return mixed.withColumn("__llm_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__llm_copies")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return copies(docs.select("doc_id", "text", "source")).select(
         "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
+        F.col("__llm_size").alias("size"),
+        F.col("__llm_source_size").alias("source_size"),
+        F.col("__llm_target").alias("target"),
+        (F.col("__llm_size") * F.col("__llm_copies")).cast("long").alias("taken"),
     )
 
 

@@ -422,8 +422,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows without an id stay if their component has no id at all.
     """
-    stays = link_components(docs, doc_id, text).where(F.col("d").eqNullSafe(F.col("first"))).select(F.col("d").alias("_d")).distinct()
-    kept = docs.join(stays, F.col(doc_id).cast("long").eqNullSafe(F.col("_d"))).drop("_d")
+    stays = link_components(docs, doc_id, text).where(F.col("d").eqNullSafe(F.col("first"))).select(F.col("d").alias("__llm_d")).distinct()
+    kept = docs.join(stays, F.col(doc_id).cast("long").eqNullSafe(F.col("__llm_d"))).drop("__llm_d")
     return kept.dropDuplicates([doc_id])
 
 
