@@ -72,15 +72,19 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def _corr(x: str, y: str) -> Column:
-    """Correlation, null where a side does not vary."""
-    varies = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(varies, F.corr(x, y))
+    """Correlation, null where a side does not vary.
+
+    A condition around ``corr`` would not keep it from dividing by zero in a constant group.
+    """
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """``by..., n, r``: plain correlation."""
     src, keys = keyed(df, by)
-    present = src.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    present = src.where(
+        F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))
+    )
     return unkeyed(by, present.groupBy(*keys).agg(F.count("*").alias("n"), _corr(x, y).alias("r")))
 
 

@@ -143,3 +143,11 @@ def test_all_seven_from_text(spark):
     got = {r.metric: r.score for r in scores.collect()}
     assert set(got) == set(config.PROFILE_METRICS)
     assert all(1.0 <= v <= 20 for v in got.values())
+
+
+def test_constant_group_has_no_correlation(spark):
+    from effnum.operators import evaluate
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", 3.0, float("nan"))], "g string, x double, y double")
+    assert {r.g: r.r for r in evaluate.pearson(df, ["g"], "x", "y").collect()} == {"a": None, "b": 1.0}
+    assert {r.g: r.rho for r in evaluate.spearman(df, ["g"], "x", "y").collect()} == {"a": None, "b": 1.0}

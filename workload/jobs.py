@@ -170,11 +170,13 @@ def estimate_whole_corpus(spark, folder):
 def growth_fit(spark, folder):
     """Distinct users seen after each day, fitted per event type."""
     events = table(spark, folder, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
-    days = events.groupBy("event_type").agg(F.min("day").alias("first"))
+    days = events.groupBy("event_type").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     firsts = events.groupBy("event_type", "user_id").agg(F.min("day").alias("seen"))
-    # A user counts on every day from the first sighting to the end of the month.
-    sizes = firsts.join(days, "event_type").withColumn("d", F.datediff("seen", "first"))
-    points = sizes.select("event_type", F.explode(F.sequence(F.col("d"), F.greatest(F.col("d"), F.lit(29)))).alias("size"))
+    # A user counts on every day from the first sighting to the last day of the type.
+    sizes = firsts.join(days, "event_type").withColumns(
+        {"d": F.datediff("seen", "first"), "end": F.datediff("last", "first")}
+    )
+    points = sizes.select("event_type", F.explode(F.sequence(F.col("d"), F.col("end"))).alias("size"))
     curve = points.groupBy("event_type", (F.col("size") + 1).alias("size")).agg((F.count("*") / 100.0).alias("mean"))
     return rounded(estimate.fit_growth(curve, ["event_type"]), "a", "b", "c", "rmse")
 
@@ -316,7 +318,7 @@ def labelled(spark, folder):
         rank() OVER (PARTITION BY lang ORDER BY quality) + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2 AS rx,
         rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS ry
       FROM d)
-    SELECT lang, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY lang""",
+    SELECT lang, count(*) AS n, round(CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END, 6) AS rho FROM r GROUP BY lang""",
 )
 def spearman_quality(spark, folder):
     return rounded(evaluate.spearman(labelled(spark, folder), ["lang"], "quality", "n_chars"), "rho")
@@ -324,7 +326,7 @@ def spearman_quality(spark, folder):
 
 @query(
     "pearson_quality_by_lang",
-    f"WITH d AS ({LABELLED}) SELECT lang, count(*) AS n, round(corr(quality, n_chars), 6) AS r FROM d GROUP BY lang",
+    f"WITH d AS ({LABELLED}) SELECT lang, count(*) AS n, round(CASE WHEN stddev_pop(quality) > 0 AND stddev_pop(n_chars) > 0 THEN corr(quality, n_chars) END, 6) AS r FROM d GROUP BY lang",
 )
 def pearson_quality(spark, folder):
     return rounded(evaluate.pearson(labelled(spark, folder), ["lang"], "quality", "n_chars"), "r")
@@ -335,7 +337,7 @@ def pearson_quality(spark, folder):
     f"""WITH d AS ({LABELLED}),
     r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY quality, doc_id) AS a,
         row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS b FROM d)
-    SELECT lang, count(*) AS n, round(corr(a, b), 6) AS r FROM r GROUP BY lang""",
+    SELECT lang, count(*) AS n, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 6) AS r FROM r GROUP BY lang""",
 )
 def ordinal_correlation(spark, folder):
     out = evaluate.ordinal_correlation(labelled(spark, folder), ["lang"], "doc_id", "quality", "n_chars")
