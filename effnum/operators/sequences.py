@@ -345,6 +345,12 @@ def pad_to_longest(df: DataFrame, by: Sequence[str], seq: str, symbol: str) -> D
     return unkeyed(by, src.join(longest, keys).withColumn(seq, padded).drop("_len"))
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point, surrogates skipped: its bytes in UTF-32."""
+    point = F.when(code < 0xD800, code).otherwise(code + 0x800)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
 def tags_to_symbols(df: DataFrame, by: Sequence[str], id: str, seq: str) -> DataFrame:
     """``by..., id, symbols``: every tag as one character, from ``A`` upwards in the
     alphabetical order of the group's distinct tags."""
@@ -353,7 +359,7 @@ def tags_to_symbols(df: DataFrame, by: Sequence[str], id: str, seq: str) -> Data
     # One row per distinct tag of a group: the dictionary, not the data, is ranked.
     distinct = tags.select(*keys, "tag").distinct()
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("tag"))
-    names = distinct.withColumn("symbol", F.chr(F.lit(64) + rank))
+    names = distinct.withColumn("symbol", _character(F.lit(64) + rank))
     joined = tags.join(names, [*keys, "tag"])
     ordered = F.array_sort(F.collect_list(F.struct("_i", "symbol")))
     strings = joined.groupBy(*keys, id).agg(F.array_join(ordered["symbol"], "").alias("symbols"))

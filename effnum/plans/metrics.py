@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -41,10 +41,14 @@ def token_semantics(embed: Embed | None = None, dim: int = 64, **options: object
     return metric
 
 
-def pos_sequence(lexicon: DataFrame | None = None, **options: object) -> Metric:
-    """Tags from a lexicon, or word shapes without one."""
+def pos_sequence(
+    lexicon: DataFrame | None = None, split_sentences: bool = False, **options: object
+) -> Metric:
+    """Tags from a lexicon, or word shapes without one; one species per text, or per sentence."""
 
     def metric(corpus: DataFrame, by: list[str]) -> DataFrame:
+        if split_sentences:
+            corpus = phonology.as_sentences(corpus, by, "doc_id", "text")
         if lexicon is None:
             tagged = corpus.select(*by, "doc_id", tx.shape_tags("text").alias("tags"))
         else:
@@ -62,67 +66,87 @@ def phonemic(lexicon: DataFrame | None = None, **options: object) -> Metric:
     return lambda corpus, by: phonology.phonemic_diversity(corpus, by, lexicon=lexicon, **options)
 
 
-def chunk_trees(corpus: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``by..., doc_id, node, parent, label``: a shallow phrase tree of each text's
-    first sentence: the sentence, its comma-separated clauses, their word shapes."""
-    first = F.get(tx.sentences(tx.clean_text(text)), F.lit(0))
-    clauses = F.filter(
-        F.transform(F.split(first, "[,;:]"), tx.words), lambda w: F.size(w) > 0
-    )
-    # Node numbers: the root is 0, clause k is (k + 1) * 2^16, its words follow it.
-    step = 1 << 16
+def _clauses(text: str) -> Column:
+    """The words of every clause of a whole text: cut at sentence ends and at ``, ; :``."""
+    parts = F.flatten(F.transform(tx.sentences(tx.clean_text(text)), lambda s: F.split(s, "[,;:]")))
+    return F.filter(F.transform(parts, tx.words), lambda w: F.size(w) > 0)
+
+
+# Clause k starts at node number k * CLAUSE (a BIGINT), so no clause runs into the next one.
+CLAUSE = 1 << 32
+
+
+def chunk_trees(
+    corpus: DataFrame, by: list[str], id: str = "doc_id", text: str = "text", split_sentences: bool = False
+) -> DataFrame:
+    """``by..., id, node, parent, label``: a shallow phrase tree of each whole text, or
+    of each of its sentences: the text, its clauses, their word shapes. A text without
+    words is a lone root; a null text as well, unless sentences are split."""
+    if split_sentences:
+        corpus = phonology.as_sentences(corpus, by, id, text)
     nested = F.transform(
-        clauses,
+        F.coalesce(_clauses(text), F.array().cast("array<array<string>>")),
         lambda words, k: F.concat(
-            F.array(F.struct(((k + 1) * step).alias("node"), F.lit(0).alias("parent"), F.lit("CL").alias("label"))),
+            F.array(F.struct(((k + 1) * CLAUSE).alias("node"), F.lit(0).cast("bigint").alias("parent"), F.lit("CL").alias("label"))),
             F.transform(
                 words,
                 lambda w, i: F.struct(
-                    ((k + 1) * step + i + 1).alias("node"),
-                    ((k + 1) * step).alias("parent"),
+                    ((k + 1) * CLAUSE + i + 1).alias("node"),
+                    ((k + 1) * CLAUSE).alias("parent"),
                     tx.word_shape(w).alias("label"),
                 ),
             ),
         ),
     )
-    root = F.array(F.struct(F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit("S").alias("label")))
+    nothing = F.lit(None).cast("bigint")
+    root = F.array(F.struct(F.lit(0).cast("bigint").alias("node"), nothing.alias("parent"), F.lit("S").alias("label")))
     rows = corpus.select(*by, id, F.explode(F.concat(root, F.flatten(nested))).alias("_n"))
     return rows.select(*by, id, "_n.node", "_n.parent", "_n.label")
 
 
-def constituency_parse(parse: Embed | None = None, **options: object) -> Metric:
-    """Phrase trees from ``parse``, or shallow chunk trees without one."""
+def constituency_parse(
+    parse: Embed | None = None, split_sentences: bool = False, **options: object
+) -> Metric:
+    """Phrase trees from ``parse``, or shallow chunk trees without one; one species per
+    text, or per sentence. A given parser gets the sentences as rows of their own."""
 
     def metric(corpus: DataFrame, by: list[str]) -> DataFrame:
-        edges = parse(corpus) if parse else chunk_trees(corpus, by)
+        texts = phonology.as_sentences(corpus, by, "doc_id", "text") if split_sentences else corpus
+        edges = parse(texts) if parse else chunk_trees(texts, by)
         return trees.constituency_diversity(edges, by, **options)
 
     return metric
 
 
-def dependency_parse(parse: Embed | None = None, **options: object) -> Metric:
+def dependency_parse(
+    parse: Embed | None = None, split_sentences: bool = False, **options: object
+) -> Metric:
     """Dependency parses from ``parse``; without one every word depends on the first
-    word of its clause and clauses on the first clause."""
+    word of its clause and clauses on the first clause. One species per text, or per
+    sentence; a given parser gets the sentences as rows of their own."""
 
     def metric(corpus: DataFrame, by: list[str]) -> DataFrame:
-        edges = parse(corpus) if parse else head_first_parses(corpus, by)
+        texts = phonology.as_sentences(corpus, by, "doc_id", "text") if split_sentences else corpus
+        edges = parse(texts) if parse else head_first_parses(texts, by)
         return trees.dependency_diversity(edges, by, **options)
 
     return metric
 
 
-def head_first_parses(corpus: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``by..., doc_id, tok, head, pos, dep`` of each text's first sentence."""
-    first = F.get(tx.sentences(tx.clean_text(text)), F.lit(0))
-    clauses = F.filter(F.transform(F.split(first, "[,;:]"), tx.words), lambda w: F.size(w) > 0)
-    step = 1 << 16
+def head_first_parses(
+    corpus: DataFrame, by: list[str], id: str = "doc_id", text: str = "text", split_sentences: bool = False
+) -> DataFrame:
+    """``by..., id, tok, head, pos, dep`` of each whole text, or of each of its sentences.
+    Texts without words have no rows."""
+    if split_sentences:
+        corpus = phonology.as_sentences(corpus, by, id, text)
     nested = F.transform(
-        clauses,
+        _clauses(text),
         lambda words, k: F.transform(
             words,
             lambda w, i: F.struct(
-                (k * step + i).alias("tok"),
-                F.when(i > 0, k * step).otherwise(F.lit(0)).alias("head"),
+                (k * CLAUSE + i).alias("tok"),
+                F.when(i > 0, k * CLAUSE).otherwise(F.lit(0).cast("bigint")).alias("head"),
                 tx.word_shape(w).alias("pos"),
                 F.when(i > 0, F.lit("dep")).otherwise(F.lit("conj")).alias("dep"),
             ),

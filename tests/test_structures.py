@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from effnum.operators import graphs, phonology, sequences, tokens, trees
+from effnum.plans import metrics
 
 
 def lcs(a, b):
@@ -138,14 +139,40 @@ def test_dependency_labels(spark):
         trees.dependency_diversity(same, ["g"], similarity="graph_edit_distance")
 
 
-def test_only_first_root_counts_and_edges_come_back(spark):
+def test_all_roots_count_and_edges_come_back(spark):
     rows = [("g", 1, 0, None, "S"), ("g", 1, 1, 0, "A"), ("g", 1, 2, 1, "B"), ("g", 1, 3, 0, "C"), ("g", 1, 4, None, "T")]
     df = spark.createDataFrame(rows, "g string, doc_id int, node int, parent int, label string")
     tree = trees.constituency_trees(df, ["g"])
     row = tree.first().tree
-    assert row.labels == ["B", "A", "C", "S"] and row.left == [0, 0, 2, 0]
+    assert row.labels == ["B", "A", "C", "S", "T", "ROOTS"] and row.left == [0, 0, 2, 0, 4, 0]
     edges = {r.node: r.parent for r in trees.tree_edges(tree, ["g"], "doc_id").collect()}
-    assert edges == {0: 1, 1: 3, 2: 3, 3: None}
+    assert edges == {0: 1, 1: 3, 2: 3, 3: 5, 4: 5, 5: None}
+
+
+def test_whole_texts_are_parsed(spark):
+    texts = [("Same start. One two three.",), ("Same start. A completely different, longer, tail here!",)]
+    df = spark.createDataFrame([("g", k, *t) for k, t in enumerate(texts)], "g string, doc_id int, text string")
+    for whole, single in (
+        (metrics.dependency_parse(), metrics.dependency_parse(split_sentences=True)),
+        (metrics.constituency_parse(), metrics.constituency_parse(split_sentences=True)),
+    ):
+        a, b = whole(df, ["g"]).first(), single(df, ["g"]).first()
+        assert a.diversity > 1.5 and a.n_species == 2
+        assert b.diversity > 1.5 and b.n_species == 4
+
+
+def test_many_clauses_and_missing_texts(spark):
+    df = spark.createDataFrame([("g", 1, "a," * 40000), ("g", 2, None), ("g", 3, "")], "g string, doc_id int, text string")
+    counts = {r.doc_id: r["count"] for r in metrics.chunk_trees(df, ["g"]).groupBy("doc_id").count().collect()}
+    assert counts == {1: 80001, 2: 1, 3: 1}
+    assert metrics.head_first_parses(df, ["g"]).count() == 40000
+
+
+def test_more_tags_than_one_byte(spark):
+    tags = [f"t{k:03d}" for k in range(60000 // 200)]
+    df = spark.createDataFrame([("g", 1, tags)], "g string, doc_id int, tags array<string>")
+    out = sequences.tags_to_symbols(df, ["g"], "doc_id", "tags").first().symbols
+    assert len(out) == len(set(out)) == 300 and out[0] == "A"
 
 
 def test_degree_profile_and_feather(spark):
