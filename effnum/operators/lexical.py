@@ -69,8 +69,9 @@ def _gram_counts(docs: DataFrame, keys: list[str], id: str, max_n: int) -> DataF
     )
 
 
-def clipped_matches(counts: DataFrame, keys: list[str], id: str) -> DataFrame:
-    """``keys..., id, n, total, clipped`` from n-gram counts.
+def lost_matches(counts: DataFrame, keys: list[str], id: str, max_n: int) -> DataFrame:
+    """``keys..., id, lost_1 .. lost_n`` from n-gram counts: the matches that clipping
+    takes from a document, per order. Documents that lose none have no row.
 
     A document's count of an n-gram is clipped at the largest count in any other
     document. That changes nothing unless the document alone holds the largest
@@ -83,26 +84,11 @@ def clipped_matches(counts: DataFrame, keys: list[str], id: str) -> DataFrame:
         F.count("*").alias("owners"), F.min(id).alias("owner")
     )
     ranked = F.sort_array(F.collect_list(F.struct("cnt", "owners", "owner")), asc=False)
-    excess = (
-        levels.groupBy(*keys, "n", "gram")
-        .agg(ranked.alias("_top"))
-        .where(F.col("_top")[0]["owners"] == 1)
-        .select(
-            *keys,
-            F.col("_top")[0]["owner"].alias(id),
-            "n",
-            F.lit(0).cast("bigint").alias("cnt"),
-            (
-                F.col("_top")[0]["cnt"]
-                - F.coalesce(F.try_element_at(F.col("_top"), F.lit(2))["cnt"], F.lit(0))
-            ).alias("excess"),
-        )
-    )
-    own = counts.select(*keys, id, "n", "cnt", F.lit(0).cast("bigint").alias("excess"))
-    return (
-        own.unionByName(excess)
-        .groupBy(*keys, id, "n")
-        .agg(F.sum("cnt").alias("total"), (F.sum("cnt") - F.sum("excess")).alias("clipped"))
+    top = levels.groupBy(*keys, "n", "gram").agg(ranked.alias("_top")).where(F.col("_top")[0]["owners"] == 1)
+    second = F.coalesce(F.try_element_at(F.col("_top"), F.lit(2))["cnt"], F.lit(0))
+    excess = top.select(*keys, F.col("_top")[0]["owner"].alias(id), "n", (F.col("_top")[0]["cnt"] - second).alias("_x"))
+    return excess.groupBy(*keys, id).agg(
+        *[F.sum(F.when(F.col("n") == n, F.col("_x"))).alias(f"lost_{n}") for n in range(1, max_n + 1)]
     )
 
 
@@ -137,6 +123,8 @@ def document_bleu(
 ) -> DataFrame:
     """BLEU of every document against all others of its group: ``by..., id, bleu``.
 
+    ``id`` names a document within its group once.
+
     Documents without tokens are left out, as are groups with fewer than two.
     """
     src, keys = keyed(df, by)
@@ -144,26 +132,26 @@ def document_bleu(
         F.size("_toks") > 0
     )
     lengths = docs.select(*keys, id, F.size("_toks").alias("len"))
-    matches = clipped_matches(_gram_counts(docs, keys, id, max_n), keys, id)
-    numerator = F.when(F.col("clipped") > 0, F.col("clipped").cast("double")).otherwise(SMOOTHING)
-    term = F.log(numerator / F.greatest(F.col("total"), F.lit(1)))
-    scored = matches.groupBy(*keys, id).agg(
-        F.sum(term).alias("_log"),
-        F.count("*").alias("_orders"),
-        F.max(F.when(F.col("n") == 1, F.col("clipped"))).alias("_shared"),
-    )
-    # Orders longer than the document have no n-gram: a smoothed count over one.
-    missing = (F.lit(max_n) - F.col("_orders")) * F.log(F.lit(SMOOTHING))
-    precision = F.exp((F.col("_log") + missing) / F.lit(float(max_n)))
-    brevity = F.when(F.col("len") > F.col("ref_len"), F.lit(1.0)).otherwise(
-        F.exp(F.lit(1.0) - F.col("ref_len") / F.col("len"))
-    )
+    lost = lost_matches(_gram_counts(docs, keys, id, max_n), keys, id, max_n)
     out = (
         lengths.join(closest_lengths(lengths, keys), [*keys, "len"])
         .where(F.col("ref_len").isNotNull())
-        .join(scored, [*keys, id])
+        .join(lost, [*keys, id], "left")
+    )
+    logs = F.lit(0.0)
+    for n in range(1, max_n + 1):
+        # A document's n-grams follow from its length; one too short for an order has a
+        # smoothed count over one there.
+        total = F.greatest(F.col("len") - F.lit(n - 1), F.lit(0))
+        clipped = total - F.coalesce(F.col(f"lost_{n}"), F.lit(0))
+        numerator = F.when(clipped > 0, clipped.cast("double")).otherwise(SMOOTHING)
+        logs = logs + F.log(numerator / F.greatest(total, F.lit(1)))
+    precision = F.exp(logs / F.lit(float(max_n)))
+    brevity = F.when(F.col("len") > F.col("ref_len"), F.lit(1.0)).otherwise(
+        F.exp(F.lit(1.0) - F.col("ref_len") / F.col("len"))
     )
-    bleu = F.when(F.col("_shared") > 0, brevity * precision).otherwise(F.lit(0.0))
+    shared = F.col("len") > F.coalesce(F.col("lost_1"), F.lit(0))
+    bleu = F.when(shared, brevity * precision).otherwise(F.lit(0.0))
     return unkeyed(by, out.select(*keys, id, bleu.alias("bleu")))
 
 
