@@ -27,17 +27,28 @@ def fold(key: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
+LABELS = 1 << 16  # so many counts of labels may be sent to every task
+SALTS = 64
+
+
 def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, at_most: int) -> DataFrame:
     """At most ``per_label`` rows of each label and about ``at_most`` in all, by the hash of ``key``.
 
-    The counts are pre-aggregated and thin the rows before any label is ranked, so a
-    label with a third of all rows is never sorted as a whole.
+    The counts are pre-aggregated and thin the rows where they are read, before any
+    label is shuffled or ranked, so a label with a third of all rows never meets in one
+    task. Beyond ``LABELS`` labels the counts come by a salted join instead of a broadcast.
     """
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     labels = max(1, counts.count())
     per = max(1, min(per_label, at_most // labels))
     draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = rows.join(counts, label).withColumn("_d", draw).where(F.col("_d") * F.col("_n") <= 2.0 * per + 20)
+    if labels <= LABELS:
+        counted = rows.join(F.broadcast(counts), label)
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = rows.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        counted = salted.join(counts.withColumn("_s", every), [label, "_s"]).drop("_s")
+    near = counted.withColumn("_d", draw).where(F.col("_d") * F.col("_n") <= 2.0 * per + 20)
     order = Window.partitionBy(label).orderBy("_d", key)
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per).drop("_n", "_d", "_r")
 
