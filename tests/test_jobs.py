@@ -116,6 +116,26 @@ def test_distributed_selection_equals_one_task(spark, method, monkeypatch):
     assert len({(r.g, r.id) for r in rounds}) == 8
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.02])
+def test_balanced_selection_equals_its_definition(spark, threshold):
+    raw = np.abs(np.random.default_rng(8).normal(size=(14, 3)))
+    unit = [[float(v) / float(np.sqrt((r**2).sum())) for v in r] for r in raw]
+    near = lambda a, b: sum(u * v for u, v in zip(unit[a], unit[b]))
+    chosen = []
+    for _ in range(5):
+        held = [[max([near(i, j) * abs(unit[j][m]) for j in chosen], default=0.0) for m in range(3)] for i in range(14)]
+        mean = [sum(h[m] for h in held) / 14 for m in range(3)]
+        low = min(range(3), key=lambda m: mean[m])
+        dims, single = ([low], True) if mean[low] < threshold else (range(3), False)
+
+        def gain(c, m):
+            return sum(max(held[i][m], near(i, c) * (1.0 if single else unit[c][m])) for i in range(14)) / 14 - mean[m]
+
+        chosen.append(max((c for c in range(14) if c not in chosen), key=lambda c: (min(gain(c, m) for m in dims), -c)))
+    rows = selection.balanced(points(spark, raw), 5, by=["g"], threshold=threshold).orderBy("rank").collect()
+    assert [r.id for r in rows] == chosen
+
+
 def test_selection_weights_and_errors(spark):
     df = points(spark, clustered())
     with pytest.raises(ValueError):
