@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import partitions
 from .ordinals import head, ordinal
 from .vectors import pair_score
 
-BUCKETS = 256  # parts a corpus is split into for scoring
-
 
 def against_queries(
     queries: DataFrame, corpus: DataFrame, feature: str, query_id: str = "query_id", id: str = "doc_id"
@@ -19,11 +18,13 @@ def against_queries(
     Scoring all documents for all queries is the task itself. It is an equi-join on
     a bucket of the corpus, with the queries offered to every bucket: the corpus is
     never copied, a small query table is broadcast by Spark, and a large one is
-    joined bucket by bucket.
+    joined bucket by bucket. There are as many buckets as shuffle partitions, so
+    scoring spreads over as many tasks as the session provides for.
     """
-    every = F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))
+    buckets = partitions(corpus)
+    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(feature).alias("_q"), every.alias("_slot"))
-    slot = F.pmod(F.xxhash64(id), F.lit(BUCKETS)).cast("int")
+    slot = F.pmod(F.xxhash64(id), F.lit(buckets)).cast("int")
     c = corpus.select(F.col(id).alias("id"), F.col(feature).alias("_c"), slot.alias("_slot"))
     return c.join(q, "_slot").drop("_slot")
 
