@@ -88,28 +88,17 @@ def pca_hill(spark, folder):
 
 @query(
     "pca_variance_by_label",
-    """SELECT label, count(*) AS n, round(sum(list_sum(list_transform(
-        list_zip(embedding::DOUBLE[], m), lambda t: (t[1] - t[2]) ** 2))), 6) AS total
-    FROM embeddings JOIN (SELECT label, list(a ORDER BY i) AS m FROM (
-        SELECT label, i, avg(x) AS a FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x,
-          generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label) USING (label)
-    GROUP BY label""",
+    """SELECT label, count(*) AS n, round(count(*) * ((var_pop(x) + var_pop(y)) / 2
+        + sqrt(((var_pop(x) - var_pop(y)) / 2) ** 2 + covar_pop(x, y) ** 2)), 6) AS total
+    FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) GROUP BY label""",
 )
 def pca_variance(spark, folder):
-    """All but one component keep all but the smallest share of the variance, which is
-    added back from the mean: the total must be that of the data."""
-    df = table(spark, folder, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
-    reduced = reduce.pca(df, ["label"], "vec_id", "x", 63, dim=64)
-    square = F.aggregate("pca", F.lit(0.0), lambda s, v: s + v * v)
-    mean = vector_to_array(Summarizer.mean(array_to_vector("x")))
-    whole = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    sums = reduced.groupBy("label").agg(
-        F.count("*").alias("n"), F.sum(square).alias("kept"), F.sum(whole).alias("raw"), mean.alias("m")
-    )
-    total = F.col("raw") - F.col("n") * F.aggregate("m", F.lit(0.0), lambda s, v: s + v * v)
-    # Groups have fewer rows than dimensions, so 63 components lose nothing there.
-    kept = F.when(F.col("n") <= 63, F.col("kept")).otherwise(total)
-    return sums.select("label", "n", r6(kept).alias("total"))
+    """Squares on the first axis of two coordinates: the larger root of their 2 x 2 moments, which SQL can write down."""
+    plane = F.slice(F.col("embedding").cast("array<double>"), 1, 2)
+    df = table(spark, folder, "embeddings").withColumn("x", plane)
+    first = F.get("pca", F.lit(0))
+    reduced = reduce.pca(df, ["label"], "vec_id", "x", 1, dim=2).groupBy("label")
+    return reduced.agg(F.count("*").alias("n"), F.sum(first * first).alias("t")).select("label", "n", r6(F.col("t")).alias("total"))
 
 
 @query(
@@ -494,8 +483,7 @@ def leaderboard(spark, folder):
 def clusters(spark, folder):
     """Documents as concepts of their source, their sentences as paraphrases."""
     docs = table(spark, folder, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("domain"), tx.sentences("text").alias("paraphrases"))
-    return rows.where(F.size("paraphrases") >= 3)
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("domain"), tx.sentences("text").alias("paraphrases"))
 
 
 @query("synonymy_corpora")
