@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from effnum.llm import bpe, forest, html_blocks, language, line_dedup, mixing, near_duplicates, topk_pivot, toxicity, url_trees
+from effnum.llm import bpe, common, forest, html_blocks, language, line_dedup, mixing, near_duplicates, topk_pivot, toxicity, url_trees
 from effnum.llm.common import read
 from effnum.llm.queries import QUERIES
 
@@ -204,6 +204,14 @@ def test_toxicity_accuracy_and_cases(spark, odd, empty):
     assert toxicity.digest(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_bounded_sample_is_the_same_beyond_a_broadcast(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('l', id % 7)) AS y", "1 AS more")
+    few = {tuple(r) for r in common.bounded_sample(rows, "y", "id", 20, 1000).select("id", "y").collect()}
+    monkeypatch.setattr(common, "LABELS", 0)
+    assert {tuple(r) for r in common.bounded_sample(rows, "y", "id", 20, 1000).select("id", "y").collect()} == few
+    assert len(few) == 20 * 8
+
+
 def test_pipeline_stages(spark):
     docs = read(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
