@@ -30,11 +30,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import flat, mixed, row_groups, words_in
+from .common import WORD, flat, mixed, row_groups, words_in
 from .vectors import packed
 
 SHINGLE = 5
@@ -176,24 +176,31 @@ def _groups(column: pa.Array):
         yield a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
+def _row_key(doc_id: str, text: str, d: str, t: str) -> list[Column]:
+    """What tells rows apart: the id and the hash of the text."""
+    return [F.col(doc_id).cast("long").alias(d), F.xxhash64(text).alias(t)]
+
+
 def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``d, s, n, k``: id, set and number of shingles of every document, and how many of them
-    lie in each of ``CELLS`` equal ranges of the hashed domain (up to 255)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text"))
+    """``d, t, s, n, k``: id, hash of the text, set and number of shingles of every document, and how
+    many of them lie in each of ``CELLS`` equal ranges of the hashed domain (up to 255)."""
+    rows = docs.select(*_row_key(doc_id, text, "d", "t"), F.col(text).alias("text"))
 
     def run(batches):
         for b in batches:
             s, n, k = [], [], []
-            for _, (h, edges) in _groups(b.column(1)):
+            for _, (h, edges) in _groups(b.column(2)):
                 s.append(set_ids(h, edges))
                 n.append(np.diff(edges))
                 cell = np.repeat(np.arange(len(n[-1])), n[-1]) * CELLS + (h >> np.uint64(56)).astype(np.int64)
                 counts = np.minimum(np.bincount(cell, minlength=len(n[-1]) * CELLS), 255).astype(np.uint8)
                 k += [c.tobytes() for c in counts.reshape(-1, CELLS)]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cat(s)), pa.array(cat(n)), pa.array(k, pa.binary())], ["d", "s", "n", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(cat(s)), pa.array(cat(n)), pa.array(k, pa.binary())], ["d", "t", "s", "n", "k"]
+            )
 
-    return rows.mapInArrow(run, "d long, s long, n long, k binary")
+    return rows.mapInArrow(run, "d long, t long, s long, n long, k binary")
 
 
 def signature_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -382,8 +389,8 @@ def _across(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``d, n, first``: each document's number of shingles and the smallest id of its component."""
+def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' sets (``document_sets``), and ``s, c`` of every linked set and its component."""
     rows = cut_lineage(document_sets(docs, doc_id, text))
     same = Window.partitionBy("g")
     live = cut_lineage(
@@ -409,6 +416,12 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             more = cut_lineage(_linked(pairs, docs, text))
             if not more.isEmpty():
                 found = components(links.union(more))
+    return rows, found
+
+
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``d, n, first``: each document's number of shingles and the smallest id of its component."""
+    rows, found = _resolved(docs, doc_id, text)
     joined = rows.groupBy("s").agg(F.min("d").alias("first")).join(found, "s", "left")
     named = joined.withColumn("c", F.coalesce("c", "s"))
     lowest = named.groupBy("c").agg(F.min("first").alias("first"))
@@ -418,13 +431,22 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, once.
+    """The rows of ``docs`` that stay: of each component one row, with the smallest id.
 
-    Rows without an id stay if their component has no id at all.
+    What decides is the row, not its id: one id with texts of two components stays once
+    for each, a component without any id keeps one row, and every row without words stays.
     """
-    stays = link_components(docs, doc_id, text).where(F.col("d").eqNullSafe(F.col("first"))).select(F.col("d").alias("__llm_d")).distinct()
-    kept = docs.join(stays, F.col(doc_id).cast("long").eqNullSafe(F.col("__llm_d"))).drop("__llm_d")
-    return kept.dropDuplicates([doc_id])
+    rows, found = _resolved(docs, doc_id, text)
+    # Rows with an id come before those without.
+    low = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "t")).alias("low")
+    of_set = rows.where(F.col("n") > 0).groupBy("s").agg(low).join(found, "s", "left")
+    stays = of_set.groupBy(F.coalesce("c", "s").alias("c")).agg(F.min("low").alias("low"))
+    stays = stays.select(F.col("low.d").alias("__llm_d"), F.col("low.t").alias("__llm_t"))
+    filled = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    keyed = docs.where(filled).select("*", *_row_key(doc_id, text, "__llm_a", "__llm_b"))
+    same = F.col("__llm_a").eqNullSafe(F.col("__llm_d")) & (F.col("__llm_b") == F.col("__llm_t"))
+    kept = keyed.join(stays, same).dropDuplicates(["__llm_a", "__llm_b"]).select(*docs.columns)
+    return kept.union(docs.where(~filled))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -106,6 +106,15 @@ def test_jaccard_join_equals_brute_force(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 0
 
 
+def test_keep_first_decides_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(None, one), (None, one), (None, two), (None, ""), (None, None), (5, one + " x"), (7, three), (7, two + " y z"), (7, three), (8, three + " x"),
+            (9, ""), (9, ""), (7, "q r s"), (None, "t u v"), (None, "t u v")]
+    kept = near_duplicates.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, ""), (None, None), (5, one + " x"), (7, three), (7, two + " y z"), (9, ""), (9, ""), (7, "q r s"), (None, "t u v")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_signatures_of_similar_sets_meet():
     rng = np.random.default_rng(0)
     for n in [1, 2, 3, 4, 5, 7, 9, 14, 30, 100, 400]:
