@@ -12,9 +12,11 @@ further. No pairs of a bucket are written out: first every set is compared with
 smallest set of one of its buckets (a star), which joins almost every group at once.
 Buckets that then still lie in different components are compared block by block in
 tasks, only across components, by counts of elements that bound the difference from
-below; what passes is compared exactly, so no link between different sets is lost. Links,
-components and sets stay in DataFrames; what goes to the driver is counts and a bit
-filter of fixed size that only saves work.
+below; what passes is compared exactly, so no component is missed. The links themselves lie
+inside the components: there all sets near enough in size are compared exactly, block by
+block, and counted (or written out, ``exact_links``). Links, components and sets stay in
+DataFrames; what goes to the driver is counts and a bit filter of fixed size that only
+saves work.
 
 Sets and signatures are 64-bit hashes (distinct shingles of one document that collide
 are counted once; two of 3 * 10**10 different sets fall together with an expectation of
@@ -42,6 +44,9 @@ SHARE = (80, 100)  # intersection by union
 PIECE = 1 << 20  # bytes hashed at a time
 CELLS = 256  # ranges of the hashed domain in which elements are counted
 BLOCK = 64  # sets of a block in the comparison across components
+HEIGHT = 2048  # sets of a block in the comparison inside components
+BYTES = 1 << 22  # bytes of such a block
+COLUMNS = 4096  # elements (with the same sets) that are compared at a time
 FILTER_BITS = 1 << 26
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -287,8 +292,8 @@ def may_link(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return apart * (SHARE[0] + SHARE[1]) <= sizes * (SHARE[1] - SHARE[0])
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar; their texts are hashed again for it."""
+def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Those of ``pairs`` (a, b) whose sets are similar, and the sets (s, h); their texts are hashed again for it."""
     ends = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
     sets = cut_lineage(_packed_sets(docs, text, ends))
     left = sets.select(F.col("s").alias("a"), F.col("h").alias("ha"))
@@ -303,7 +308,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return cut_lineage(both.mapInArrow(run, "a long, b long")), sets
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -389,8 +394,112 @@ def _across(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The documents' sets (``document_sets``), and ``s, c`` of every linked set and its component."""
+def overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``x`` shares with each of ``y`` (elements one after the other, offsets).
+
+    Elements in the same sets count as one column with a weight, so near copies have few columns.
+    """
+    (hx, ex), (hy, ey) = x, y
+    nx, n = len(ex) - 1, len(ex) + len(ey) - 2
+    row = np.repeat(np.arange(n), np.concatenate([np.diff(ex), np.diff(ey)]))
+    _, at, many = np.unique(np.concatenate([hx, hy]), return_inverse=True, return_counts=True)
+    row, at = row[many[at] > 1], at[many[at] > 1]
+    order = np.lexsort((row, at))
+    row, at = row[order], at[order]
+    start = np.flatnonzero(np.diff(at, prepend=-1))
+    held: dict[bytes, list[int]] = {}
+    for a, z in zip(start.tolist(), [*start[1:].tolist(), len(row)]):
+        held.setdefault(row[a:z].tobytes(), [0, a, z])[0] += 1
+    out = np.zeros((nx, n - nx))
+    columns = list(held.values())
+    for lo in range(0, len(columns), COLUMNS):
+        own = columns[lo : lo + COLUMNS]
+        inside = np.zeros((n, len(own)), np.float32)
+        for j, (_, a, z) in enumerate(own):
+            inside[row[a:z], j] = 1
+        weight = np.array([w for w, _, _ in own], np.float32)
+        out += (inside[:nx] * weight) @ inside[nx:].T
+    return out
+
+
+def _similar_sets(x: tuple, y: tuple) -> np.ndarray:
+    both = overlaps(x, y)
+    return both * SHARE[1] >= (np.diff(x[1])[:, None] + np.diff(y[1])[None, :] - both) * SHARE[0]
+
+
+def _all_links(found: DataFrame, sets: DataFrame, weights: DataFrame, pairs: bool = False) -> DataFrame:
+    """All exact links between different sets: ``a, b`` with a < b, or ``s, m``, the documents linked with each set.
+
+    Links lie inside components (``found``: s, c). A component's sets (s, h) are cut by size into
+    blocks of bounded bytes; blocks are compared in themselves and with those that are near enough
+    in size, each pair of sets once. Without ``pairs`` only sums (of ``weights``: s, w) leave a task.
+    """
+    members = found.join(sets, "s").join(weights, "s").withColumn("n", F.length("h") / 8)
+    names = ("ss", "ns", "ws", "hs")
+    shape = "c long, at long, lo long, hi long, ss binary, ns binary, ws binary, hs binary"
+
+    def pack(batches):
+        held, now, size = [], None, 0
+
+        def block():
+            s, n, w, h = (list(x) for x in zip(*held))
+            cells = [b"".join(h) if k == 3 else np.array(x, np.int64).tobytes() for k, x in enumerate((s, n, w, h))]
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([int(x)]) for x in (now, s[0], n[0], n[-1])), *(pa.array([x], pa.binary()) for x in cells)],
+                ["c", "at", "lo", "hi", *names],
+            )
+
+        for b in batches:
+            for c, *row in zip(*(b.column(x).to_pylist() for x in ("c", "s", "n", "w", "h"))):
+                if held and (c != now or len(held) == HEIGHT or size + len(row[3]) > BYTES):
+                    yield block()
+                    held, size = [], 0
+                now = c
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield block()
+
+    blocks = cut_lineage(
+        members.select("c", F.col("n").cast("long").alias("n"), "s", "w", "h")
+        .repartitionByRange("c", "n", "s")
+        .sortWithinPartitions("c", "n", "s")
+        .mapInArrow(pack, shape)
+    )
+
+    def compare(batches):
+        """Links of one block in itself, or with another one where its columns are there."""
+        for b in batches:
+            for r in range(b.num_rows):
+                get = lambda n, t=np.int64: np.frombuffer(b.column(n)[r].as_py(), t)  # noqa: B023, E731
+                side = lambda p: (get(f"hs{p}", np.uint64), np.concatenate([[0], np.cumsum(get(f"ns{p}"))]))  # noqa: B023, E731
+                other = "1" if "ss1" in b.schema.names else ""
+                near = _similar_sets(side(other), side(""))
+                x, y = get(f"ss{other}"), get("ss")
+                if not other:
+                    near = np.triu(near, 1)
+                if pairs:
+                    i, j = np.nonzero(near)
+                    out = [np.minimum(x[i], y[j]), np.maximum(x[i], y[j])]
+                else:
+                    sums = np.concatenate([near @ get("ws"), get(f"ws{other}") @ near])
+                    out = [np.concatenate([x, y])[sums > 0], sums[sums > 0]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["a", "b"] if pairs else ["s", "m"])
+
+    kind = "a long, b long" if pairs else "s long, m long"
+    heads = blocks.select("c", "at", "lo", "hi")
+    # Blocks of a component follow each other by size.
+    ahead = F.struct("lo1", "at1") < F.struct("lo", "at")
+    beside = heads.withColumnsRenamed({"at": "at1", "lo": "lo1", "hi": "hi1"}).join(heads, "c")
+    beside = beside.where(ahead & (F.col("lo") * SHARE[0] <= F.col("hi1") * SHARE[1])).select("at1", "at")
+    first = blocks.select(F.col("at").alias("at1"), *(F.col(x).alias(f"{x}1") for x in names))
+    both = beside.join(first, "at1").join(blocks.select("at", *names), "at")
+    out = blocks.mapInArrow(compare, kind).union(both.mapInArrow(compare, kind))
+    return out if pairs else out.groupBy("s").agg(F.sum("m").alias("m"))
+
+
+def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sets (``document_sets``), ``s, c`` of every linked set and its component, and the sets ``s, h`` of at least those."""
     rows = cut_lineage(document_sets(docs, doc_id, text))
     same = Window.partitionBy("g")
     live = cut_lineage(
@@ -406,28 +515,42 @@ def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     # First, of the partners that may be similar, the one with which a set shares most signatures.
     best = _near(star, counts).groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
     tested = cut_lineage(best)
-    links = cut_lineage(_linked(tested, docs, text))
+    links, sets = _linked(tested, docs, text)
     found = components(links)
     # Then the buckets whose sets still lie in different components.
     apart = _open(live, found)
     if not apart.isEmpty():
         pairs = cut_lineage(_across(apart, counts).join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            more = cut_lineage(_linked(pairs, docs, text))
+            more, others = _linked(pairs, docs, text)
             if not more.isEmpty():
                 found = components(links.union(more))
-    return rows, found
+                sets = sets.union(others.join(sets.select("s"), "s", "left_anti"))
+    return rows, found, sets
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``d, n, first``: each document's number of shingles and the smallest id of its component."""
-    rows, found = _resolved(docs, doc_id, text)
-    joined = rows.groupBy("s").agg(F.min("d").alias("first")).join(found, "s", "left")
-    named = joined.withColumn("c", F.coalesce("c", "s"))
+    """``d, n, first, links``: each document's number of shingles, the smallest id of its component
+    and the number of other documents (rows) that are similar to it, those with an equal set included."""
+    rows, found, sets = _resolved(docs, doc_id, text)
+    joined = rows.groupBy("s").agg(F.min("d").alias("first"), F.count("*").alias("w")).join(found, "s", "left")
+    named = cut_lineage(joined.withColumn("c", F.coalesce("c", "s")))
     lowest = named.groupBy("c").agg(F.min("first").alias("first"))
-    of_set = named.select("s", "c").join(lowest, "c").select("s", "first")
-    filled = rows.where(F.col("n") > 0).join(of_set, "s").select("d", "n", "first")
-    return filled.union(rows.where(F.col("n") == 0).select("d", "n", F.col("d").alias("first")))
+    others = _all_links(found, sets, named.select("s", "w"))
+    of_set = named.select("s", "c", "w").join(lowest, "c").join(others, "s", "left")
+    of_set = of_set.select("s", "first", (F.col("w") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    filled = rows.where(F.col("n") > 0).join(of_set, "s").select("d", "n", "first", "links")
+    return filled.union(rows.where(F.col("n") == 0).select("d", "n", F.col("d").alias("first"), F.lit(0).cast("long")))
+
+
+def exact_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: ``a, b`` (a < b), all pairs of different sets that are similar, and ``d, s``, the set of every document.
+
+    Documents with an equal set, other than the empty one (null here), are similar too.
+    """
+    rows, found, sets = _resolved(docs, doc_id, text)
+    pairs = _all_links(found, sets, rows.groupBy("s").agg(F.count("*").alias("w")), pairs=True)
+    return pairs, rows.select("d", F.when(F.col("n") > 0, F.col("s")).alias("s"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -436,7 +559,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     What decides is the row, not its id: one id with texts of two components stays once
     for each, a component without any id keeps one row, and every row without words stays.
     """
-    rows, found = _resolved(docs, doc_id, text)
+    rows, found, _ = _resolved(docs, doc_id, text)
     # Rows with an id come before those without.
     low = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "t")).alias("low")
     of_set = rows.where(F.col("n") > 0).groupBy("s").agg(low).join(found, "s", "left")
@@ -451,5 +574,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def digest(docs: DataFrame) -> DataFrame:
     return link_components(docs.select("doc_id", "text")).select(
-        F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first").alias("component_id")
+        F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"), F.col("links").alias("n_links")
     )

@@ -106,6 +106,30 @@ def test_jaccard_join_equals_brute_force(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 0
 
 
+def test_jaccard_join_counts_all_links(spark, empty, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HEIGHT", 3)  # one component is many blocks
+    monkeypatch.setattr(near_duplicates, "COLUMNS", 5)
+    docs = [tuple(r) for r in read(spark, SF, "documents").select("doc_id", "text").collect()]
+    words = [f"w{i}" for i in range(60)]
+    docs += [(10_000 + k, " ".join(words[k : k + 40 + k % 3])) for k in range(12)] + [(10_020, " ".join(words[:40])), (10_021, ""), (10_022, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0}
+    got = {r.doc_id: r.n_links for r in near_duplicates.digest(df).collect()}
+    assert got == {d: sum(d in p for p in want) for d in sets} and len(want) > 30
+    pairs, members = near_duplicates.exact_links(df)
+    pairs, of = [tuple(r) for r in pairs.collect()], {}
+    for d, s in members.collect():
+        of.setdefault(s, []).append(d)
+    found = [tuple(sorted((x, y))) for a, b in pairs for x in of[a] for y in of[b]]
+    found += [(x, y) for s, ds in of.items() if s is not None for x in ds for y in ds if x < y]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert near_duplicates.exact_links(empty)[0].count() == 0
+
+
 def test_keep_first_decides_by_row(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
     rows = [(None, one), (None, one), (None, two), (None, ""), (None, None), (5, one + " x"), (7, three), (7, two + " y z"), (7, three), (8, three + " x"),
