@@ -14,9 +14,10 @@ third of all rows is many blocks. ``VISITS`` is set for a recall of 0.9 and more
 where vectors have no structure at all; with structure fewer leaves would do.
 
 Defined cases: vectors null, empty, zero or with null or non-finite components take no
-part; of several rows with one id the smallest vector counts, and of vectors with
-different lengths the longest; with fewer candidates than k found all are returned;
-an empty table gives no rows; further columns are ignored.
+part; equal vectors with one id are one row, different ones are rows of their own (the
+query's ranks are then those of all its vectors together); vectors are compared with those
+of the same length, each length by a forest of its own; with fewer candidates than k found
+all are returned; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import mixed
 from .topk_pivot import lifted
-from .vectors import best, clean, length_of, matrix, packed, sample
+from .vectors import best, clean, lengths, matrix, packed, sample
 
 SAMPLE = 20_000
 TREES = 8
@@ -39,6 +41,7 @@ SUBTREES = 3  # levels that name a subtree
 VISITS = 0.15  # share of all leaves that a query visits
 BLOCK = 4096  # rows of a block
 CHUNK = 256  # queries of a chunk
+FOUND = "query_id long, vec_id long, pair long, score double"
 
 
 class Forest:
@@ -116,14 +119,28 @@ class Forest:
 
 def search(rows: DataFrame, queries: DataFrame, k: int, visits: float = VISITS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` largest inner products found per query."""
+    found = SparkSession.active().createDataFrame([], FOUND)
+    for dim, total, m2 in lengths(rows):
+        found = found.union(_of_length(rows.where(F.size("v") == dim), queries, k, visits, dim, total, m2))
+    # A pair of rows may be found in several trees.
+    once = found.groupBy("query_id", "vec_id", "pair").agg(F.max("score").alias("score"))
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return (
+        once.withColumn("rank", F.row_number().over(ranked).cast("int"))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _marks(v: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every row of a matrix; tells an id's vectors apart."""
+    bits = np.ascontiguousarray(v + 0.0).view(np.uint64)
+    return mixed(mixed(bits + np.arange(1, v.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1, dtype=np.uint64))
+
+
+def _of_length(rows: DataFrame, queries: DataFrame, k: int, visits: float, dim: int, total: int, m2: float) -> DataFrame:
+    """``query_id, vec_id, pair, score`` of what is found among ``rows`` of one length."""
     spark = SparkSession.active()
-    schema = "query_id long, rank int, vec_id long, score double"
-    dim = length_of(rows)
-    if not dim:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == dim)
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    total, m2 = rows.agg(F.count("*"), F.max(norm)).first()
     grown = Forest(lifted(sample(rows, SAMPLE, total), m2))
     forest = spark.sparkContext.broadcast(grown)  # bounded by SAMPLE, TREES and DEPTH
     leaves = max(TREES, int(np.ceil(visits * len(grown.tree_of))))
@@ -189,7 +206,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, visits: float = VISITS)
                         continue
                     for j, s in zip(mine.tolist(), q[mine] @ v[a:z].T):
                         tops.setdefault(j, []).append((a, z, s))
-                out = ([], [], [])
+                out = ([], [], [], [])
                 for j, parts in tops.items():
                     s = np.concatenate([x for _, _, x in parts])
                     own = np.concatenate([ids[a:z] for a, z, _ in parts])
@@ -201,9 +218,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int, visits: float = VISITS)
                     exact = (v[place[at]] * q[j]).sum(1)
                     out[0].append(np.full(len(at), qids[j]))
                     out[1].append(own[at])
-                    out[2].append(exact)
+                    out[2].append((_marks(v[place[at]]) + mixed(_marks(q[[j]]))).view(np.int64))
+                    out[3].append(exact)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "pair", "score"])
 
     stored = (
         rows.mapInArrow(index, "id long, v array<double>, tree int, shard int, leaf int")
@@ -214,14 +232,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, visits: float = VISITS)
     sent = queries.where(F.size("v") == dim).mapInArrow(
         walks, "tree int, shard int, qids binary, qvecs binary, who binary, what binary"
     )
-    found = sent.join(stored, ["tree", "shard"]).mapInArrow(compare, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        once.withColumn("rank", F.row_number().over(ranked).cast("int"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return sent.join(stored, ["tree", "shard"]).mapInArrow(compare, FOUND)
 
 
 def digest(table: DataFrame, k: int = 20) -> DataFrame:

@@ -13,9 +13,10 @@ The pivots come from a bounded sample (``SAMPLE`` rows); every row is indexed, a
 result does not depend on the sample. A pivot with most of the rows is many annuli.
 
 Defined cases: vectors null, empty or with null or non-finite components take no part;
-of several rows with one id the smallest vector counts, and of vectors with different
-lengths the longest; with fewer candidates than k all are returned; an empty table gives
-no rows; further columns are ignored.
+equal vectors with one id are one row, different ones are rows of their own (the query's
+ranks are then those of all its vectors together); vectors are compared with those of the
+same length, each length by a search of its own; with fewer candidates than k all are
+returned; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .vectors import best, clean, length_of, matrix, packed, sample
+from .vectors import best, clean, lengths, matrix, names, packed, sample
 
 SAMPLE = 4096
 PIVOTS = 32
@@ -61,13 +62,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ``whole_numbers``); a row with a query's own id is not its candidate.
     """
     spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
-    dim = length_of(rows)
-    if not dim:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == dim)
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    total, m2 = rows.agg(F.count("*"), F.max(norm)).first()
+    hits = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for dim, total, m2 in lengths(rows):
+        hits = hits.union(_of_length(rows.where(F.size("v") == dim), queries, k, dim, total, m2))
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return (
+        hits.withColumn("rank", F.row_number().over(ranked).cast("int"))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _of_length(rows: DataFrame, queries: DataFrame, k: int, dim: int, total: int, m2: float) -> DataFrame:
+    """``query_id, vec_id, score``, the k best and others, for ``rows`` of one length."""
     if m2 >= 2.0**52:
         raise ValueError("inner products of these vectors are not exact in double precision")
     pivots = choose_pivots(lifted(sample(rows, SAMPLE, total), m2))
@@ -89,24 +96,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def sorted_runs(df, query):
         out = df.mapInArrow(lambda bs: keyed(bs, query), shape)
-        return out.repartitionByRange("p", "d", "id").sortWithinPartitions("p", "d", "id")
+        return out.repartitionByRange("p", "d", "id").sortWithinPartitions("p", "d", "id", "v")
 
     def annuli(batches):
-        for (p,), t in packed(batches, ("p",), ANNULUS):
+        for a, ((p,), t) in zip(names(), packed(batches, ("p",), ANNULUS)):
             ids, v = matrix(t)
             d = t.column("d").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(ids[0])]), pa.array([p], pa.int32()), pa.array([d[0]]), pa.array([d[-1]]), pa.array([len(ids)]),
+                [pa.array([a]), pa.array([p], pa.int32()), pa.array([d[0]]), pa.array([d[-1]]), pa.array([len(ids)]),
                  pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([d.tobytes()], pa.binary())],
                 ["a", "p", "lo", "hi", "n", "ids", "vecs", "ds"],
             )
 
     def chunks(batches):
-        for (p,), t in packed(batches, ("p",), CHUNK):
+        for c, ((p,), t) in zip(names(), packed(batches, ("p",), CHUNK)):
             ids, v = matrix(t)
             d = distances(np.hstack([v, np.zeros((len(v), 1))]), pivots)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(ids[0])]), pa.array([p], pa.int32()), pa.array([d.min(0).tolist()], pa.list_(pa.float64())), pa.array([d.max(0).tolist()], pa.list_(pa.float64())),
+                [pa.array([c]), pa.array([p], pa.int32()), pa.array([d.min(0).tolist()], pa.list_(pa.float64())), pa.array([d.max(0).tolist()], pa.list_(pa.float64())),
                  pa.array([float((v * v).sum(1).max())]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
                 ["c", "home", "near", "far", "q2", "qids", "qvecs"],
             )
@@ -127,7 +134,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def compare(batches, first):
         """Scores of the rows of one annulus for one chunk that the bounds do not rule out."""
-        names = ["query_id", "vec_id", "score"]
+        columns = ["query_id", "vec_id", "score"]
         for b in batches:
             for r in range(b.num_rows):
                 row = {n: b.column(n)[r].as_py() for n in b.schema.names}
@@ -155,7 +162,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         out[1].append(ids[a:z][at])
                         out[2].append(s[at])
                 cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(cat(x).astype(np.int64)) for x in out], names)
+                yield pa.RecordBatch.from_arrays([pa.array(cat(x).astype(np.int64)) for x in out], columns)
 
     found = "query_id long, vec_id long, score long"
     # The annuli of the home pivot nearest to the chunk, until k rows (and the query's own) are in.
@@ -199,16 +206,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         yield from compare(widen(), False)
 
-    hits = (
+    return (
         pairs.join(asked.select("c", "qids", "qvecs").join(lows.select("c", "floors"), "c"), "c")
         .join(blocks, ["p", "a"])
         .mapInArrow(with_floors, found)
     )
-    return (
-        hits.withColumn("rank", F.row_number().over(ranked).cast("int"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
 
 
 def whole_numbers(rows: DataFrame, scale: int = SCALE) -> DataFrame:

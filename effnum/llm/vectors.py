@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def clean(table: DataFrame, key: str = "vec_id", vector: str = "embedding", zero: bool = True) -> DataFrame:
-    """``id, v`` with v in double precision, one row per id.
+    """``id, v`` with v in double precision, one row per id and vector.
 
     Rows with a null id, a null or empty vector or null or non-finite components are
-    left out, and so are zero vectors unless ``zero``. Of several rows with one id the
-    smallest vector counts. Vectors of another length than the longest take no part.
+    left out, and so are zero vectors unless ``zero``. Equal vectors with one id are one
+    row; different ones are rows of their own.
     """
     v = F.col(vector).cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -24,11 +26,14 @@ def clean(table: DataFrame, key: str = "vec_id", vector: str = "embedding", zero
     )
     if not zero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.dropDuplicates(["id", "v"])
 
 
-def length_of(rows: DataFrame) -> int:
-    return rows.agg(F.max(F.size("v"))).first()[0] or 0
+def lengths(rows: DataFrame) -> list[tuple[int, int, float]]:
+    """The lengths of the vectors: each with its number of rows and largest squared norm."""
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*"), F.max(norm))
+    return sorted(tuple(r) for r in sizes.collect())
 
 
 def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -41,8 +46,9 @@ def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def sample(rows: DataFrame, n: int, total: int) -> np.ndarray:
     """About ``n`` rows by hash, at most ``2 n``, in the order of their ids."""
     share = min(1.0, n / max(1, total))
-    kept = rows.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).limit(2 * n)
-    got = kept.toArrow().sort_by("id")
+    draw = F.xxhash64("id", "v", F.lit(23))  # one id may have many vectors
+    kept = rows.select("id", "v", draw.alias("_h")).where(F.pmod("_h", F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).limit(2 * n)
+    got = kept.toArrow().sort_by([("id", "ascending"), ("_h", "ascending")])
     return np.array([x for x in got.column("v").to_pylist()], np.float64)
 
 
@@ -75,6 +81,11 @@ def packed(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], height: int
         yield now, pa.Table.from_batches(held)
 
 
+def names() -> Iterator[int]:
+    """Numbers for the blocks that a task makes, different in all tasks of a stage."""
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
 def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return arrays(table.combine_chunks().to_batches()[0])
 

@@ -185,6 +185,27 @@ def test_forest_recall_and_cases(spark):
     assert 460 not in set(forest.digest(df).toPandas().vec_id) and forest.digest(df.limit(0)).count() == 0
 
 
+def test_searches_keep_lengths_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk_pivot, "ANNULUS", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8)) for i in range(120)] + [(i, rng.normal(size=9)) for i in range(100, 140)] + [(777, rng.normal(size=3))]
+    rows += [(100, rng.normal(size=8)) for _ in range(20)] + [(7, rng.normal(size=8)) for _ in range(20)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+
+    def want(rows, step, k):
+        out = {}
+        for q, v in rows:
+            if q % step == 0:
+                out.setdefault(q, []).extend((-float(v @ w), i) for i, w in rows if i != q and len(w) == len(v))
+        return {(q, r + 1, i, round(-s, 6)) for q, found in out.items() for r, (s, i) in enumerate(sorted(found)[:k])}
+
+    whole = [(i, np.floor(v * 256)) for i, v in rows]
+    assert {tuple(r) for r in topk_pivot.digest(df).collect()} == want(whole, 50, 5)
+    clean = forest.clean(df, zero=False)
+    got = forest.search(clean, clean.where("id % 20 = 0"), 20, visits=1.0).collect()
+    assert {(*r[:3], round(r.score, 6)) for r in got} == want(rows, 20, 20)
+
+
 def test_main_text_is_the_article(spark):
     pages = read(spark, SF, "pages")
     net = html_blocks.fit(pages)
