@@ -3,7 +3,8 @@
 Each tree splits by the difference of two random rows at the median; the trees are grown
 on a bounded sample (``SAMPLE`` rows), and every row goes into one leaf of each tree. A
 query walks all trees with one shared priority queue ordered by its distance from the
-borders it did not cross, until it has visited a given share of the leaves. Candidates
+borders it did not cross, until it has visited a given share of the leaves, and on until
+they are sure to hold k candidates (sampled rows are counted) or none is left. Candidates
 of the visited leaves are scored exactly on the original vectors, and a row found in
 several trees counts once. Vectors are lifted by one coordinate for the trees, so that
 rows of different length are found by inner product too.
@@ -16,7 +17,7 @@ where vectors have no structure at all; with structure fewer leaves would do.
 Defined cases: vectors null, empty, zero or with null or non-finite components take no
 part; equal vectors with one id are one row, different ones are rows of their own (the
 query's ranks are then those of all its vectors together); vectors are compared with those
-of the same length, each length by a forest of its own; with fewer candidates than k found
+of the same length, each length by a forest of its own; with fewer candidates than k
 all are returned; an empty table gives no rows; further columns are ignored.
 """
 
@@ -47,7 +48,7 @@ FOUND = "query_id long, vec_id long, pair long, score double"
 class Forest:
     """Node arrays of all trees; negative children are leaves, numbered over the forest."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = 11):
+    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = 11, ids: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.normals, self.cuts, self.children, self.roots = [], [], [], []
         self.tree_of, self.shard_of = [], []
@@ -56,6 +57,9 @@ class Forest:
         self.normals = np.array(self.normals).reshape(-1, x.shape[1])
         self.cuts = np.array(self.cuts, np.float64)
         self.tree_of, self.shard_of = np.array(self.tree_of), np.array(self.shard_of)
+        # Sampled ids of every leaf; an id counts with one of its rows only.
+        one = x if ids is None else x[np.unique(ids, return_index=True)[1]]
+        self.held = np.bincount(self.leaves(one).ravel(), minlength=len(self.tree_of)).tolist()
 
     def _grow(self, x, rows, depth, tree, path, rng) -> int:
         if depth < DEPTH and len(rows) > LEAF:
@@ -97,15 +101,19 @@ class Forest:
                     stack += [(self.children[node][0], rows[side]), (self.children[node][1], rows[~side])]
         return out
 
-    def visit(self, x: np.ndarray, leaves: int) -> list[list[int]]:
-        """For every query the leaves it visits, nearest borders first over all trees."""
+    def visit(self, x: np.ndarray, leaves: int, ids: int = 0) -> list[list[int]]:
+        """For every query the leaves it visits, nearest borders first over all trees.
+
+        It goes on until the leaves of one tree, which share no row, hold ``ids`` sampled ids.
+        """
         margins = x @ self.normals.T - self.cuts if len(self.cuts) else np.zeros((len(x), 0))
         out = []
         for m in margins.tolist():
             queue = [(0.0, root) for root in self.roots]
             heapq.heapify(queue)
             own: list[int] = []
-            while queue and len(own) < leaves:
+            seen = [0] * len(self.roots)
+            while queue and (len(own) < leaves or max(seen) < ids):
                 away, node = heapq.heappop(queue)
                 while node >= 0:
                     s = m[node]
@@ -113,6 +121,7 @@ class Forest:
                     heapq.heappush(queue, (max(away, abs(s)), far))
                     node = near
                 own.append(-node - 1)
+                seen[self.tree_of[own[-1]]] += self.held[own[-1]]
             out.append(own)
         return out
 
@@ -141,7 +150,8 @@ def _marks(v: np.ndarray) -> np.ndarray:
 def _of_length(rows: DataFrame, queries: DataFrame, k: int, visits: float, dim: int, total: int, m2: float) -> DataFrame:
     """``query_id, vec_id, pair, score`` of what is found among ``rows`` of one length."""
     spark = SparkSession.active()
-    grown = Forest(lifted(sample(rows, SAMPLE, total), m2))
+    ids, drawn = sample(rows, SAMPLE, total)
+    grown = Forest(lifted(drawn, m2), ids=ids)
     forest = spark.sparkContext.broadcast(grown)  # bounded by SAMPLE, TREES and DEPTH
     leaves = max(TREES, int(np.ceil(visits * len(grown.tree_of))))
 
@@ -175,7 +185,7 @@ def _of_length(rows: DataFrame, queries: DataFrame, k: int, visits: float, dim:
                 b = whole.slice(lo, CHUNK)
                 ids = b.column("id").to_numpy(zero_copy_only=False)
                 v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
-                seen = f.visit(np.hstack([v, np.zeros((len(v), 1))]), leaves)
+                seen = f.visit(np.hstack([v, np.zeros((len(v), 1))]), leaves, k + 1)
                 who = np.repeat(np.arange(len(seen)), [len(s) for s in seen])
                 what = np.concatenate(seen).astype(np.int64)
                 place = f.tree_of[what] << SUBTREES | f.shard_of[what]

@@ -77,7 +77,7 @@ def _of_length(rows: DataFrame, queries: DataFrame, k: int, dim: int, total: int
     """``query_id, vec_id, score``, the k best and others, for ``rows`` of one length."""
     if m2 >= 2.0**52:
         raise ValueError("inner products of these vectors are not exact in double precision")
-    pivots = choose_pivots(lifted(sample(rows, SAMPLE, total), m2))
+    pivots = choose_pivots(lifted(sample(rows, SAMPLE, total)[1], m2))
 
     def keyed(batches, query=False):
         for b in batches:

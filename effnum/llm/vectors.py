@@ -43,13 +43,13 @@ def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("id").to_numpy(zero_copy_only=False), flat.reshape(batch.num_rows, -1)
 
 
-def sample(rows: DataFrame, n: int, total: int) -> np.ndarray:
-    """About ``n`` rows by hash, at most ``2 n``, in the order of their ids."""
+def sample(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of about ``n`` rows by hash, at most ``2 n``, in the order of their ids."""
     share = min(1.0, n / max(1, total))
     draw = F.xxhash64("id", "v", F.lit(23))  # one id may have many vectors
     kept = rows.select("id", "v", draw.alias("_h")).where(F.pmod("_h", F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).limit(2 * n)
     got = kept.toArrow().sort_by([("id", "ascending"), ("_h", "ascending")])
-    return np.array([x for x in got.column("v").to_pylist()], np.float64)
+    return got.column("id").to_numpy(), np.array([x for x in got.column("v").to_pylist()], np.float64)
 
 
 def packed(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], height: int) -> Iterator[tuple[tuple, pa.Table]]:

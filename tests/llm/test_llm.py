@@ -206,6 +206,18 @@ def test_searches_keep_lengths_and_repeated_ids(spark, monkeypatch):
     assert {(*r[:3], round(r.score, 6)) for r in got} == want(rows, 20, 20)
 
 
+def test_forest_gives_all_candidates_of_small_tables(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(16)] + [(0, rng.normal(size=8).tolist()) for _ in range(30)]
+    df = spark.createDataFrame([*rows, *((100 + i, rng.normal(size=5).tolist()) for i in range(25))], "vec_id long, embedding array<double>")
+    found = {}
+    for r in forest.digest(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(found[100]) == 20
+    few = spark.createDataFrame(rows[:16], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in forest.digest(few).collect()} == set(range(1, 16))
+
+
 def test_main_text_is_the_article(spark):
     pages = read(spark, SF, "pages")
     net = html_blocks.fit(pages)
