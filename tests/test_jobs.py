@@ -284,3 +284,20 @@ def test_registered_queries_are_consistent():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
+
+
+def test_pca_of_whole_vectors_equals_brute_force(spark):
+    from workload import jobs
+
+    folder = "/root/testdata/sf0.001"
+    groups = {}
+    for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect():
+        groups.setdefault(r.label, []).append(r.embedding)
+    got = {r.label: r for r in jobs.pca_whole_variance(spark, folder).collect()}
+    assert set(got) == set(groups)
+    for label, rows in groups.items():
+        x = np.array(rows, float)
+        assert x.shape[1] == 64 and got[label].n == len(x)
+        values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+        want = values[:8].sum() if len(x) > 1 else (x * x).sum()
+        assert got[label].total == pytest.approx(want, rel=1e-6)

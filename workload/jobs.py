@@ -101,6 +101,15 @@ def pca_variance(spark, folder):
     return reduced.agg(F.count("*").alias("n"), F.sum(first * first).alias("t")).select("label", "n", r6(F.col("t")).alias("total"))
 
 
+@query("pca_whole_variance_by_label")
+def pca_whole_variance(spark, folder):
+    """Squares on the first eight axes of whole vectors; compared with a brute-force eigendecomposition in the tests."""
+    df = table(spark, folder, "embeddings")
+    reduced = reduce.pca(df, ["label"], "vec_id", "embedding", 8, dim=64).groupBy("label")
+    squares = F.aggregate("pca", F.lit(0.0), lambda s, v: s + v * v)
+    return reduced.agg(F.count("*").alias("n"), F.sum(squares).alias("t")).select("label", "n", r6(F.col("t")).alias("total"))
+
+
 @query(
     "custom_hill_by_label",
     """WITH v AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x FROM embeddings),
