@@ -301,3 +301,12 @@ def test_pca_of_whole_vectors_equals_brute_force(spark):
         values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
         want = values[:8].sum() if len(x) > 1 else (x * x).sum()
         assert got[label].total == pytest.approx(want, rel=1e-6)
+
+
+def test_rounds_do_not_depend_on_larger_groups(spark, monkeypatch):
+    monkeypatch.setattr(selection, "GROUP_ROWS", 40)
+    rng = np.random.default_rng(3)
+    rows = [("a", i, rng.normal(size=4).tolist()) for i in range(60)] + [("b", 1000 + i, rng.normal(size=4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id long, vec array<double>")
+    pick = lambda d: sorted((r["rank"], r.id) for r in selection.select_diverse(d, 10, by=["g"], mode="scalable").where("g = 'a'").collect())
+    assert pick(df) == pick(df.where("g = 'a'"))
