@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, forest, html_blocks, language, line_dedup, mixing, near_duplicates, topk_pivot, toxicity, url_trees
+from . import bpe, forest, html_blocks, language, line_dedup, merkle, mixing, near_duplicates, quality_rules, topk_pivot, toxicity, url_trees, whitening
 from .common import read
 
 QUERIES = {
@@ -16,6 +16,15 @@ QUERIES = {
     "op8_language_id": lambda spark, d: language.digest(read(spark, d, "documents")),
     "op9_forest_search": lambda spark, d: forest.digest(read(spark, d, "embeddings")),
     "op10_toxicity": lambda spark, d: toxicity.digest(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op11_whitening": lambda spark, d: whitening.digest(read(spark, d, "embeddings")),
+    "op12_quality_rules": lambda spark, d: quality_rules.digest(read(spark, d, "documents")),
+    "op13_merkle_manifest": lambda spark, d: merkle.digest(read(spark, d, "documents")),
 }
 
-SQL = {"op1_topk_pivot": topk_pivot.SQL, "op6_line_dedup": line_dedup.SQL, "op7_mix_sources": mixing.SQL}
+SQL = {
+    "op1_topk_pivot": topk_pivot.SQL,
+    "op6_line_dedup": line_dedup.SQL,
+    "op7_mix_sources": mixing.SQL,
+    "op12_quality_rules": quality_rules.SQL,
+    "op13_merkle_manifest": merkle.SQL,
+}
