@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +84,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffles and checkpoints that nothing refers to any more, now.
+
+    Spark frees them when the driver's JVM collects garbage, which a driver with little
+    to do rarely does. Call it after a large step whose result has been checkpointed.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def stable_order(seed: int | str, *columns: str | Column) -> Column:
     """A reproducible pseudo-random sort key: md5 over the seed and the columns."""
     parts = [F.lit(str(seed))]
