@@ -2,10 +2,13 @@
 
 Candidates come from PartEnum signatures. Sets are put into bands of nearly equal size.
 Two sets of similarity 0.8 differ in at most a quarter of the smaller one, k elements for
-a band; the hashed domain is partitioned into more than k cells, so that at least one
-cell holds the same elements in both. A set's signatures are its cells' contents, for its
-own band and for the band below (where it may be the larger partner). Similar sets always
-share a signature; what shares one is then compared exactly.
+a band. The hashed domain is cut into partitions, somewhat more than half of k; at least
+one of them holds at most one of the differing elements, so of its three cells two hold
+the same elements in both sets. A set's signatures are the contents of all pairs of cells
+of all partitions, for its own band and for the band below (where it may be the larger
+partner). Small sets use more than k partitions of one cell each, of which one agrees
+(three cells would often be empty). Similar sets always share a signature; what shares
+one is then compared exactly.
 
 Equal sets are one set with many documents from the start, so exact copies cost nothing
 further. No pairs of a bucket are written out: first every set is compared with the
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .common import WORD, flat, mixed, row_groups, words_in
 from .vectors import packed
 
@@ -48,6 +51,8 @@ HEIGHT = 2048  # sets of a block in the comparison inside components
 BYTES = 1 << 22  # bytes of such a block
 COLUMNS = 4096  # elements (with the same sets) that are compared at a time
 FILTER_BITS = 1 << 26
+ENUMERATED = 48  # differing elements from which on subsets of cells are enumerated
+SECOND = 3  # cells of a partition then; a signature leaves one of them out
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -125,8 +130,26 @@ def set_ids(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mixed(total[edges[1:]] - total[edges[:-1]] + n.astype(np.uint64)), 0).view(np.int64)
 
 
+def parameters(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Partitions of the domain, and cells of a partition, for sets that differ in ``k`` elements.
+
+    Large sets: in more than half of k partitions, one has at most one different element, hence all
+    but one of its cells agree. Small sets: in more than k partitions of one cell, one agrees. There
+    are a few more partitions than that, so that those with too few elements can be left out.
+    """
+    few = k // 2 + 1
+    spare = np.ceil(0.05 * few + 5 * np.sqrt(0.05 * few)).astype(np.int64)
+    large = k >= ENUMERATED
+    return np.where(large, few + spare, np.where(k == 0, 1, k + 1 + (k + 1) * 12 // 100 + 4)), np.where(large, SECOND, 1)
+
+
 def signatures(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of sets (sorted 64-bit numbers): the signatures and the rows they belong to."""
+    """PartEnum signatures of sets (sorted 64-bit numbers): the signatures and the rows they belong to.
+
+    A partition is a range of the hashed domain and its cells are equal parts of it, so both are runs
+    of a sorted set. A signature stands for all cells of a partition but one (for the only one, where
+    a partition has a single cell).
+    """
     n = np.diff(edges)
     rows = np.flatnonzero(n)
     if not len(rows):
@@ -134,10 +157,14 @@ def signatures(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = bands(int(n.max()))
     band = np.searchsorted(low, n[rows], side="right") - 1
     row_of = np.repeat(np.arange(len(n)), n)
-    at_row = np.zeros(len(n), np.int64)
     value = mixed(h + np.uint64(0x9E3779B97F4A7C15))
     run = np.concatenate([[np.uint64(0)], np.cumsum(value)])
     out, owner = [], []
+
+    def emit(sums, names, rows_of):
+        out.append(mixed(sums + mixed(names)))
+        owner.append(rows_of)
+
     for below in (0, 1):
         use = rows[band >= below]
         inst = band[band >= below] - below
@@ -145,32 +172,54 @@ def signatures(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
             continue
         upper = low[inst + 1] - 1  # largest size of the smaller partner
         k = upper * (SHARE[1] - SHARE[0]) // SHARE[0]  # how many elements similar sets differ in
-        # More cells than k + 1, so that empty cells can be left out.
-        cells = np.where(k == 0, 1, k + 1 + (k + 1) * 12 // 100 + 4)
-        at_row[:] = 0
-        at_row[use] = cells
-        c = at_row[row_of]
+        first, second = parameters(k)
+        spread = lambda x, to=use: np.bincount(to, x, len(n)).astype(np.int64)
+        cells_of, second_of, name_of = spread(first * second), spread(second), spread(inst).astype(np.uint64) << np.uint64(44)
+        c = cells_of[row_of]
         live = c > 0
         # Cells are equal ranges of the hashed domain, so a sorted set's cells are runs.
-        cell = ((h >> np.uint64(32)) * c.astype(np.uint64)) >> np.uint64(32)
+        cell = (((h >> np.uint64(32)) * c.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         change = np.ones(len(h), bool)
         change[1:] = (cell[1:] != cell[:-1]) | (row_of[1:] != row_of[:-1])
-        start = np.flatnonzero(change & live)
-        bounds = np.flatnonzero(change)
-        stop = np.append(bounds, len(h))[np.searchsorted(bounds, start) + 1]
-        which = np.zeros(len(n), np.uint64)
-        which[use] = inst.astype(np.uint64)
-        name = mixed((which[row_of[start]] << np.uint64(40)) + cell[start] + np.uint64(1))
-        out.append(mixed(run[stop] - run[start] + name))
-        owner.append(row_of[start])
-        # With k or fewer filled cells all that agree may be empty: then those count too.
-        filled = np.bincount(row_of[start], minlength=len(n))[use]
-        for r, b, many, kk, f in zip(use, inst, cells, k, filled):
-            if f <= kk:
-                have = cell[edges[r] : edges[r + 1]]
-                free = np.setdiff1d(np.arange(many, dtype=np.uint64), have)
-                out.append(mixed((np.uint64(b) << np.uint64(40)) + free + np.uint64(1)) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                owner.append(np.full(len(free), r))
+        bounds = np.append(np.flatnonzero(change), len(h))
+        start, stop = bounds[:-1][live[bounds[:-1]]], bounds[1:][live[bounds[:-1]]]
+        r, at, sums = row_of[start], cell[start], run[stop] - run[start]
+        part = at // np.maximum(second_of[r], 1)
+        single = second_of[r] == 1
+        # One cell a partition: its content.
+        emit(sums[single], name_of[r[single]] + part[single].astype(np.uint64) * np.uint64(4) + np.uint64(3), r[single])
+        # Several: the partition without each cell in turn, as long as something is left.
+        r, at, sums, part = r[~single], at[~single], sums[~single], part[~single]
+        edge = np.ones(len(r), bool)
+        edge[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
+        group = np.cumsum(edge) - 1
+        heads = np.flatnonzero(edge)
+        total = np.add.reduceat(sums, heads) if len(heads) else np.zeros(0, np.uint64)
+        filled = np.bincount(group, minlength=len(heads))
+        parted = name_of[r[heads]] + part[heads].astype(np.uint64) * np.uint64(4)
+        for left_out in range(SECOND):
+            here = (at % SECOND) == left_out
+            without = total.copy()
+            without[group[here]] -= sums[here]
+            rest = filled.copy()
+            rest[group[here]] -= 1
+            some = rest > 0
+            emit(without[some], parted[some] + np.uint64(left_out), r[heads][some])
+        # Where too few partitions are filled, those that agree may be empty: then what is empty counts too.
+        useful = np.bincount(row_of[start][single], minlength=len(n)) + np.bincount(r[heads][filled > 1], minlength=len(n))
+        for row, i, kk, n1, n2 in zip(use, inst, k, first, second):
+            if useful[row] <= (kk if n2 == 1 else kk // 2):
+                have = cell[edges[row] : edges[row + 1]]
+                codes = np.arange(n1) * 4 + 3 if n2 == 1 else (np.arange(n1)[:, None] * 4 + np.arange(n2)).ravel()
+                if n2 == 1:
+                    gone = ~np.isin(np.arange(n1), have)
+                else:
+                    inside = np.zeros((n1, n2), np.int64)
+                    np.add.at(inside, (have // n2, have % n2), 1)
+                    gone = (inside.sum(1)[:, None] == inside).ravel()
+                free = (np.uint64(i) << np.uint64(44)) + codes[gone].astype(np.uint64)
+                out.append(mixed(free) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+                owner.append(np.full(len(free), row))
     return np.concatenate(out), np.concatenate(owner)
 
 
@@ -509,6 +558,7 @@ def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
         .select("g", "s", "lead")
         .distinct()
     )
+    release(docs.sparkSession)  # the signatures
     counts = rows.join(live.select("s").distinct(), "s", "left_semi").select("s", "n", "k").dropDuplicates(["s"])
     counts = cut_lineage(counts)
     star = live.where(F.col("s") != F.col("lead")).groupBy(F.col("s").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("w"))
@@ -517,6 +567,7 @@ def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     tested = cut_lineage(best)
     links, sets = _linked(tested, docs, text)
     found = components(links)
+    release(docs.sparkSession)
     # Then the buckets whose sets still lie in different components.
     apart = _open(live, found)
     if not apart.isEmpty():
@@ -536,6 +587,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = rows.groupBy("s").agg(F.min("d").alias("first"), F.count("*").alias("w")).join(found, "s", "left")
     named = cut_lineage(joined.withColumn("c", F.coalesce("c", "s")))
     lowest = named.groupBy("c").agg(F.min("first").alias("first"))
+    release(docs.sparkSession)  # what the candidates needed
     others = _all_links(found, sets, named.select("s", "w"))
     of_set = named.select("s", "c", "w").join(lowest, "c").join(others, "s", "left")
     of_set = of_set.select("s", "first", (F.col("w") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
