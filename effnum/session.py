@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,12 +85,49 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors reach: ``spark.checkpoint.dir``."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise RuntimeError("iterative operators need a shared folder: set spark.checkpoint.dir")
+    return folder
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, for steps too large to keep until the end.
+
+    ``keep`` writes a DataFrame as Parquet and gives it back without its lineage, and ``drop`` deletes
+    such a table once nothing will read it again. Unlike a checkpoint, a written table holds on
+    to none of the shuffles it came from, so these are freed at once.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.tables: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.tables)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(table)] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.tables[id(table)])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
 def release(spark: SparkSession) -> None:
     """Free the shuffles and checkpoints that nothing refers to any more, now.
 
     Spark frees them when the driver's JVM collects garbage, which a driver with little
-    to do rarely does. Call it after a large step whose result has been checkpointed.
+    to do rarely does. Call it after a large step whose result has been written.
     """
+    spark.range(1).count()  # until the next job, the scheduler still refers to the last one
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
 
