@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, release
+from ..session import Scratch, cut_lineage, release
 from .common import WORD, flat, mixed, row_groups, words_in
 from .vectors import packed
 
@@ -549,9 +549,10 @@ def _all_links(found: DataFrame, sets: DataFrame, weights: DataFrame, pairs: boo
 
 def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sets (``document_sets``), ``s, c`` of every linked set and its component, and the sets ``s, h`` of at least those."""
-    rows = cut_lineage(document_sets(docs, doc_id, text))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(document_sets(docs, doc_id, text))
     same = Window.partitionBy("g")
-    live = cut_lineage(
+    live = scratch.keep(
         signature_rows(docs, text)
         .withColumns({"lead": F.min("s").over(same), "last": F.max("s").over(same)})
         .where(F.col("lead") != F.col("last"))
@@ -570,6 +571,7 @@ def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     release(docs.sparkSession)
     # Then the buckets whose sets still lie in different components.
     apart = _open(live, found)
+    scratch.drop(live)
     if not apart.isEmpty():
         pairs = cut_lineage(_across(apart, counts).join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
