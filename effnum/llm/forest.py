@@ -15,9 +15,10 @@ third of all rows is many blocks. ``VISITS`` is set for a recall of 0.9 and more
 where vectors have no structure at all; with structure fewer leaves would do.
 
 Defined cases: vectors null, empty, zero or with null or non-finite components take no
-part; equal vectors with one id are one row, different ones are rows of their own (the
-query's ranks are then those of all its vectors together); vectors are compared with those
-of the same length, each length by a forest of its own; with fewer candidates than k
+part; repeated rows are candidates each for itself, and ask once; rows without an id are
+candidates (after all others among equals, null in the result) and never ask; of one id
+with several vectors the query's ranks are those of all its vectors together; vectors are
+compared with those of the same length, each length by a forest of its own; with fewer candidates than k
 all are returned; an empty table gives no rows; further columns are ignored.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed
 from .topk_pivot import lifted
-from .vectors import best, clean, lengths, matrix, packed, sample
+from .vectors import asked, best, clean, lengths, matrix, named, packed, sample
 
 SAMPLE = 20_000
 TREES = 8
@@ -42,7 +43,7 @@ SUBTREES = 3  # levels that name a subtree
 VISITS = 0.15  # share of all leaves that a query visits
 BLOCK = 4096  # rows of a block
 CHUNK = 256  # queries of a chunk
-FOUND = "query_id long, vec_id long, pair long, score double"
+FOUND = "query_id long, vec_id long, pair long, score double, tree int"
 
 
 class Forest:
@@ -131,8 +132,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int, visits: float = VISITS)
     found = SparkSession.active().createDataFrame([], FOUND)
     for dim, total, m2 in lengths(rows):
         found = found.union(_of_length(rows.where(F.size("v") == dim), queries, k, visits, dim, total, m2))
-    # A pair of rows may be found in several trees.
-    once = found.groupBy("query_id", "vec_id", "pair").agg(F.max("score").alias("score"))
+    # A pair of rows may be found in several trees; in each of them repeated rows share a leaf.
+    in_tree = found.groupBy("query_id", "vec_id", "pair", "tree").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    once = in_tree.groupBy("query_id", "vec_id", "pair").agg(F.max("score").alias("score"), F.least(F.max("n"), F.lit(k)).cast("int").alias("n"))
+    once = once.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
         once.withColumn("rank", F.row_number().over(ranked).cast("int"))
@@ -216,7 +219,7 @@ def _of_length(rows: DataFrame, queries: DataFrame, k: int, visits: float, dim:
                         continue
                     for j, s in zip(mine.tolist(), q[mine] @ v[a:z].T):
                         tops.setdefault(j, []).append((a, z, s))
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
                 for j, parts in tops.items():
                     s = np.concatenate([x for _, _, x in parts])
                     own = np.concatenate([ids[a:z] for a, z, _ in parts])
@@ -230,8 +233,9 @@ def _of_length(rows: DataFrame, queries: DataFrame, k: int, visits: float, dim:
                     out[1].append(own[at])
                     out[2].append((_marks(v[place[at]]) + mixed(_marks(q[[j]]))).view(np.int64))
                     out[3].append(exact)
+                    out[4].append(np.full(len(at), b.column("tree")[r].as_py(), np.int32))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "pair", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "pair", "score", "tree"])
 
     stored = (
         rows.mapInArrow(index, "id long, v array<double>, tree int, shard int, leaf int")
@@ -247,4 +251,4 @@ def _of_length(rows: DataFrame, queries: DataFrame, k: int, visits: float, dim:
 
 def digest(table: DataFrame, k: int = 20) -> DataFrame:
     rows = clean(table, zero=False)
-    return search(rows, rows.where(F.col("id") % 20 == 0), k)
+    return named(search(rows, asked(rows, 20), k))

@@ -8,7 +8,8 @@ seeded md5 order up to the remaining words, rounded to the nearer document.
 
 The order is never sorted as a whole: sizes are summed per source and slice of the md5
 space (pre-aggregated), and only the one slice per source that holds the cut is ordered.
-Documents are then compared with their source's cut, so texts are not shuffled.
+Documents are then compared with their source's cut: by broadcast where the sources are
+few, else in a salted join, which then shuffles the texts.
 
 Defined cases: a null source is a source of its own, last in order; a null text has size
 0; sources without words have target 0 and nothing taken; rows that share an id share
@@ -101,7 +102,9 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     salted = docs.withColumns({"__llm_size": n_words(text), "__llm_salt": F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS))})
     out = salted.join(spread, (F.col("__llm_salt") == F.col("__llm_part")) & F.col(source).eqNullSafe(F.col("__llm_src")), "left")
     extra = (stable_order(seed, doc_id) <= F.col("__llm_cut")).cast("long")
-    return out.withColumn("__llm_copies", F.col("__llm_whole") + extra).drop("__llm_src", "__llm_whole", "__llm_cut", "__llm_salt", "__llm_part")
+    # Texts of size 0 before the cut add nothing to a source that is already taken as often as allowed.
+    most = F.lit(int(MAX_EPOCHS)).cast("long")
+    return out.withColumn("__llm_copies", F.least(F.col("__llm_whole") + extra, most)).drop("__llm_src", "__llm_whole", "__llm_cut", "__llm_salt", "__llm_part")
 
 
 def repeat(docs: DataFrame, **names: str) -> DataFrame:

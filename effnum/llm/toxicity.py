@@ -1,8 +1,8 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax.
 
 A text is the bag of the character n-grams of its distinct words, borders included
-(distinct within each piece of a megabyte: a line repeated a hundred times says no more
-than once). Each n-gram
+(a line repeated a hundred times says no more than once; a text beyond a megabyte is read in
+pieces that remember the words of those before). Each n-gram
 has a hashed vector; their average goes through a linear softmax, and vectors and
 softmax are trained together (numpy, plain steps for the vectors, Adam for the softmax). A misspelling shares most n-grams with the
 word it comes from, so it scores alike without having been seen. Since averaging and
@@ -15,7 +15,8 @@ bucket, so long texts cannot overwhelm the driver.
 
 Defined cases: null and empty texts and texts without a word score as the bias alone;
 rows without a label or with null labels are never learned from; several labels of one
-document count as 1 if any is 1; without labels of both kinds every score is the share
+document count as 1 if any is 1; rows that are repeated or share an id are scored each for
+itself; without labels of both kinds every score is the share
 of the one kind (0 without any label); further columns of the input stay out.
 """
 
@@ -68,8 +69,11 @@ def gram_codes(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, (mixed >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's words once, in order, with a border before and after each word; and the new offsets."""
+def distinct_words(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's words once, in order, with a border before and after each word; the new offsets; their hashes.
+
+    Words whose hash is among the sorted ``known`` ones are left out.
+    """
     n = len(offsets) - 1
     text = np.full(len(data) + n + 1, 32, np.uint8)
     text[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = _FOLD[data]
@@ -77,19 +81,36 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     start, end, word = words_in(text, text == 32)
     row = np.searchsorted(edges, start, side="right") - 1
     key = word + row.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    first = np.sort(np.unique(key, return_index=True)[1])
+    found, first = np.unique(key, return_index=True)
+    if known is not None and len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        found, first = found[known[at] != found], first[known[at] != found]
+    first = np.sort(first)
     start, end, row = start[first], end[first], row[first]
     size = end - start + 1  # the word and the border before it
     to = np.concatenate([[0], np.cumsum(size)])
     out = np.full(int(to[-1]) + 1, 32, np.uint8)
     out[:-1] = text[np.repeat(start - 1 - to[:-1], size) + np.arange(to[-1])]
-    return out, to[np.searchsorted(row, np.arange(n + 1))]
+    return out, to[np.searchsorted(row, np.arange(n + 1))], found
+
+
+def distinct_pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct words of one row of any length, in pieces. What is held are the hashes of its words."""
+    known = np.zeros(0, np.uint64)
+    for piece in long_pieces(data):
+        text, _, found = distinct_words(piece, np.array([0, len(piece)]), known)
+        known = np.union1d(known, found)
+        yield text
 
 
 def sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row: the sum of its words' n-grams' numbers, and the count of n-grams."""
-    text, starts = distinct_words(data, offsets)
-    n = len(offsets) - 1
+    text, starts, _ = distinct_words(data, offsets)
+    return _sums(text, starts, table)
+
+
+def _sums(text: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(starts) - 1
     total, count = np.zeros(n), np.zeros(n)
     for at, code in gram_codes(text):
         edge = np.searchsorted(at, starts)
@@ -100,13 +121,16 @@ def sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
 
 
 def long_pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long row in pieces, cut between words; a single longer word is cut inside."""
+    """A long row in pieces of about PIECE bytes, cut between words only."""
     at = 0
     while at < len(data):
         end = min(at + PIECE, len(data))
-        if end < len(data):
-            rim = np.flatnonzero(_FOLD[data[at:end]] == 32)
-            end = at + int(rim[-1]) + 1 if len(rim) else end
+        while end < len(data):
+            rim = np.flatnonzero(_FOLD[data[end : end + PIECE]] == 32)
+            if len(rim):
+                end += int(rim[0])
+                break
+            end = min(end + PIECE, len(data))
         yield data[at:end]
         at = end
 
@@ -117,7 +141,7 @@ def bag_means(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.nd
     for a, b in row_groups(offsets, PIECE):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         if b - a == 1 and len(part) > PIECE:
-            both = [sums(p, np.array([0, len(p)]), table) for p in long_pieces(part)]
+            both = [_sums(p, np.array([0, len(p)]), table) for p in distinct_pieces(part)]
             total, count = sum(t for t, _ in both), sum(c for _, c in both)
         else:
             total, count = sums(part, own, table)
@@ -128,8 +152,8 @@ def bag_means(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.nd
 def bag(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of one row and their shares."""
     counts = np.zeros(1 << BITS, np.int64)
-    for piece in long_pieces(data):
-        for _, code in gram_codes(distinct_words(piece, np.array([0, len(piece)]))[0]):
+    for text in distinct_pieces(data):
+        for _, code in gram_codes(text):
             counts += np.bincount(code, minlength=1 << BITS)
     at = np.flatnonzero(counts)
     return at.astype(np.int32), (counts[at] / (counts.sum() + NEUTRAL)).astype(np.float32)

@@ -12,21 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Stands for a null id inside the searches: larger than all others, and no id itself.
+NO_ID = (1 << 63) - 1
+
+
 def clean(table: DataFrame, key: str = "vec_id", vector: str = "embedding", zero: bool = True) -> DataFrame:
-    """``id, v`` with v in double precision, one row per id and vector.
+    """``id, v`` of every row that takes part, with v in double precision; a null id is ``NO_ID``.
 
-    Rows with a null id, a null or empty vector or null or non-finite components are
-    left out, and so are zero vectors unless ``zero``. Equal vectors with one id are one
-    row; different ones are rows of their own.
+    Rows with a null or empty vector or null or non-finite components are left out, and so
+    are zero vectors unless ``zero``. Repeated rows stay rows of their own.
     """
     v = F.col(vector).cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = table.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(
-        F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", finite)
-    )
+    rows = table.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), v.alias("v")).where((F.size("v") > 0) & F.forall("v", finite))
     if not zero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    return rows.dropDuplicates(["id", "v"])
+    return rows
+
+
+def asked(rows: DataFrame, every: int) -> DataFrame:
+    """The queries: rows whose id is divisible by ``every``; a repeated row asks once."""
+    return rows.where((F.col("id") != NO_ID) & (F.col("id") % every == 0)).dropDuplicates(["id", "v"])
+
+
+def named(hits: DataFrame) -> DataFrame:
+    """``hits`` with null for ``NO_ID``."""
+    return hits.withColumn("vec_id", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")))
 
 
 def lengths(rows: DataFrame) -> list[tuple[int, int, float]]:

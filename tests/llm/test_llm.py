@@ -284,4 +284,4 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, SF)
         assert out.dtypes == docs.dtypes, name
     got = corpus_pipeline.run(spark, SF)
-    assert got.count() > 0 and len(QUERIES) == 10
+    assert got.count() > 0 and len(QUERIES) == 13
