@@ -47,15 +47,23 @@ def pack(
     block lists its rows in the same order. ``n`` is the number of species of the
     group (the sum of ``count`` where rows stand for several).
     """
+    return gather(df, keys, id, columns, height, count=count)
+
+
+def gather(
+    df: DataFrame, keys: Sequence[str], id: str | None, columns: Sequence[str], height: int, place: str | None = None, count: str | None = None
+) -> DataFrame:
+    """:func:`pack`, with the block of each row in the column ``place`` if it is named."""
     size = F.sum(count) if count else F.count("*")
     sizes = df.groupBy(*keys).agg(size.cast("bigint").alias("n"), F.count("*").alias("_rows"))
     ident = [id] if id else []
     spread = F.xxhash64(*(ident or columns))
+    block = F.col(place) if place else F.pmod(spread, F.col("n_blk"))
     return (
-        df.select(*keys, *ident, *columns)
+        df.select(*keys, *ident, *columns, *([place] if place else []))
         .join(sizes, list(keys))
         .withColumn("n_blk", F.ceil(F.col("_rows") / F.lit(height)).cast("int"))
-        .withColumn("blk", F.pmod(spread, F.col("n_blk")).cast("int"))
+        .withColumn("blk", block.cast("int"))
         # A fixed number of partitions: the work per block is far larger than its
         # bytes suggest, so small blocks must not be merged into a few tasks.
         .repartition(partitions(df), *keys, "blk")
@@ -71,7 +79,11 @@ def packed(*args, **kwargs) -> tuple[DataFrame | None, DataFrame | None]:
     The pair routes read the blocks up to four times. Reading them from the shared
     folder costs less than packing again, and keeps the plans small.
     """
-    blocks = cut_lineage(pack(*args, **kwargs))
+    return split(cut_lineage(pack(*args, **kwargs)))
+
+
+def split(blocks: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Blocks of groups of one block, and of groups of several."""
     low, high = blocks.agg(F.min("n_blk"), F.max("n_blk")).first()
     small = blocks.where(F.col("n_blk") == 1) if low == 1 or high is None else None
     large = blocks.where(F.col("n_blk") > 1) if high is not None and high > 1 else None

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import keyed, unkeyed
 from . import blocks as bl
-from . import hill
+from . import hill, tiles
 
 HEIGHT = 256  # distinct sequences per block
 TABLE_BYTES = 32 << 20  # bound on the working tables of one scoring step
@@ -247,13 +247,13 @@ def distinct_sums(
     """
     small, large = bl.packed(counted, keys, None, [feature, "cnt"], height, count="cnt")
     a, ca = F.col(f"rows.{feature}").alias("a"), F.col("rows.cnt").alias("ca")
-    b, cb = F.col(f"rows.{feature}").alias("b"), F.col("rows.cnt").alias("cb")
     parts = []
     if small is not None:
         parts.append(bl.run_rows(small, keys, [feature, "cnt"], whole, [a, ca]))
     if large is not None:
         single = bl.run(large.select(*keys, "blk", a, ca), keys, own)
-        double = bl.run(bl.block_pairs(large, keys, [a, ca], [b, cb]), keys, cross)
+        sides = {"a": F.col(f"rows.{feature}"), "ca": F.col("rows.cnt")}, {"b": F.col(f"rows.{feature}"), "cb": F.col("rows.cnt")}
+        double = tiles.tile_sums(large, keys, *sides, cross)
         sums = bl.add_up(single.unionByName(double), [*keys, "blk"])
         parts.append(bl.unpack(large, sums, keys, [feature, "cnt"]))
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("sum", "other")

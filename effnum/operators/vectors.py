@@ -7,7 +7,8 @@ Three routes to ``(Zp)_i``, chosen by the kernel and never by the data:
 * similarities quadratic in it (squared cosine): one d x d second moment per
   group, applied block by block,
 * everything else (exponential, city-block, maximum distance, clipping after
-  mean adjustment): sums over pairs of blocks.
+  mean adjustment): sums over pairs of blocks of neighbours, in tiles, without the
+  pairs of blocks that can add nothing (``tiles``).
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..session import keyed, unkeyed
+from ..session import cut_lineage, keyed, unkeyed
 from . import blocks as bl
-from . import hill
+from . import hill, tiles
 
 METRICS = ("cosine", "l2sq", "l1", "linf")
 POSTPROCESS = (None, "exp", "invert")
@@ -73,11 +74,13 @@ def similarity_mass(
     weight: str | None = None,
     text: str | None = None,
     dim: int | None = None,
+    height: int | None = None,
 ) -> DataFrame:
     """``by..., id, p, zp, valid``: what the Hill aggregate needs, one row per species.
 
     With ``text``, every group has one more row that says whether all its texts are
-    usable; it has no ``p`` and ``zp`` and is no species. ``dim`` only sizes the blocks; leave it out to assume a few hundred.
+    usable; it has no ``p`` and ``zp`` and is no species. ``dim`` only sizes the
+    blocks (or ``height``, in rows); leave it out to assume a few hundred.
     """
     _check(metric, postprocess)
     src, keys = keyed(df, by)
@@ -87,7 +90,7 @@ def similarity_mass(
     if linear and not mean_adjust:
         out = _linear(species, keys, metric, poly)
     else:
-        out = _blocked(species, keys, metric, postprocess, power, mean_adjust, poly, dim or 256)
+        out = _blocked(species, keys, metric, postprocess, power, mean_adjust, poly, dim or 256, height)
     out = out.withColumn("valid", F.lit(True))
     if text:
         nothing = F.lit(None).cast("double")
@@ -171,7 +174,8 @@ def _across(x, p, y, r, metric, postprocess, power, mu) -> tuple[np.ndarray, np.
 
 def _pair_sums(blocks: DataFrame, keys: list[str], metric, postprocess, power, weighted: bool, adjusted: bool) -> DataFrame:
     """``keys..., blk, sums`` over all pairs: self pairs from the blocks themselves,
-    the others from the block join. ``weighted`` uses p, otherwise ones."""
+    the others from tiles of blocks, but for those that their balls rule out (when every
+    weight counts the same, nothing but exact zeros is). ``weighted`` uses p, otherwise ones."""
     extra = [F.col("mu")] if adjusted else []
 
     def payload(batch: pa.RecordBatch, row: int, x: str, p: str):
@@ -205,9 +209,12 @@ def _pair_sums(blocks: DataFrame, keys: list[str], metric, postprocess, power, w
         return rows, blk, arrays
 
     x, p = F.col("rows.x").alias("x"), F.col("rows.p").alias("p")
-    y, q = F.col("rows.x").alias("y"), F.col("rows.p").alias("q")
     single = bl.run(blocks.select(*keys, "blk", x, p, *extra), keys, own)
-    double = bl.run(bl.block_pairs(blocks, keys, [x, p, *extra], [y, q]), keys, cross)
+    mu = {"mu": F.col("mu")} if adjusted else {}
+    balls = ["centre", "radius", "lightest", *mu]
+    skip = tiles.ruled_out(metric, postprocess, power) if weighted else None
+    sides = {"x": F.col("rows.x"), "p": F.col("rows.p"), **mu}, {"y": F.col("rows.x"), "q": F.col("rows.p")}
+    double = tiles.tile_sums(blocks, keys, *sides, cross, skip, balls if weighted else [])
     return bl.add_up(single.unionByName(double), [*keys, "blk"])
 
 
@@ -250,14 +257,20 @@ def _blocked(
     mean_adjust: bool,
     poly: tuple | None,
     dim: int,
+    height: int | None = None,
 ) -> DataFrame:
     totals = species.groupBy(*keys).agg(F.sum("w").alias("_w"))
     weighted = species.join(totals, keys).withColumn("p", F.col("w") / F.col("_w"))
-    small, large = bl.packed(weighted, keys, "sid", ["x", "p"], bl.rows_per_block(dim))
+    height = height or bl.rows_per_block(dim)
+    moments = poly is not None and metric == "cosine" and not mean_adjust
+    if moments:
+        small, large = bl.packed(weighted, keys, "sid", ["x", "p"], height)
+    else:
+        small, large = _ball_blocks(weighted, keys, metric, height)
     parts = []
     if small is not None:
         parts.append(_whole_groups(small, keys, metric, postprocess, power, mean_adjust))
-    if large is not None and poly is not None and metric == "cosine" and not mean_adjust:
+    if large is not None and moments:
         parts.append(_quadratic(large, keys, poly))
     elif large is not None:
         if mean_adjust:
@@ -269,6 +282,21 @@ def _blocked(
     return rows.select(*keys, "sid", "p", F.col("sum").alias("zp"))
 
 
+def _ball_blocks(weighted: DataFrame, keys: list[str], metric: str, height: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Groups of one block, and the blocks of neighbours of larger ones; either may be ``None``."""
+    sizes = cut_lineage(weighted.groupBy(*keys).agg(F.count("*").alias("_c")))
+    low, high = sizes.agg(F.min("_c"), F.max("_c")).first()
+    parts = weighted.join(sizes, keys)
+    small = large = None
+    if high is None or low <= height:
+        rows = parts.where(F.col("_c") <= height).drop("_c")
+        small = cut_lineage(bl.pack(rows, keys, "sid", ["x", "p"], height))
+    if high is not None and high > height:
+        rows = parts.where(F.col("_c") > height).drop("_c")
+        large = cut_lineage(tiles.pack_balls(rows, keys, "sid", "x", "p", height, metric))
+    return small, large
+
+
 def _whole_groups(small: DataFrame, keys: list[str], metric, postprocess, power, mean_adjust) -> DataFrame:
     """Groups of a single block, at most a few thousand rows: everything at once."""
 
@@ -342,6 +370,29 @@ def _off_diagonal_mean(large: DataFrame, keys: list[str], metric, postprocess, p
     )
 
 
+def pair_counts(
+    df: DataFrame, by: Sequence[str], id: str, vec: str, metric: str, postprocess: str | None = None,
+    power: bool = False, mu: float | None = None, height: int = 1024,
+) -> DataFrame:
+    """``by..., n_pairs, n_skipped``: pairs of different blocks, and those that their balls rule out.
+
+    ``mu`` is the level below which similarities are clipped, if they are. Nothing is compared.
+    """
+    src, keys = keyed(df, by)
+    species = _species(src, keys, id, vec, None, metric)
+    n = species.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = species.join(n, keys).select(*keys, "sid", "x", (F.lit(1.0) / F.col("_n")).alias("p"))
+    blocks = tiles.pack_balls(rows, keys, "sid", "x", "p", height, metric)
+    level = ["mu"] if mu is not None else []
+    if level:
+        blocks = blocks.withColumn("mu", F.lit(float(mu)))
+    nothing = lambda batch: ([], [], [])
+    counted = tiles.tile_sums(blocks, keys, {}, {}, nothing, tiles.ruled_out(metric, postprocess, power), ["centre", "radius", "lightest", *level], counts=True)
+    sums = bl.add_up(counted, keys)
+    out = sums.select(*keys, *[F.col("sums")[k].cast("bigint").alias(n) for k, n in enumerate(("n_pairs", "n_skipped"))])
+    return unkeyed(by, out)
+
+
 def document_diversity(
     df: DataFrame,
     by: Sequence[str] = (),

@@ -110,19 +110,37 @@ def pca_whole_variance(spark, folder):
     return reduced.agg(F.count("*").alias("n"), F.sum(squares).alias("t")).select("label", "n", r6(F.col("t")).alias("total"))
 
 
+def _gap(a, b):
+    """Largest difference of two vectors, for every pair of rows."""
+    a, b = np.array(a, np.float64), np.array(b, np.float64)
+    out = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        out = np.maximum(out, np.abs(a[:, k][:, None] - b[:, k][None, :]))
+    return out
+
+
 @query(
     "custom_hill_by_label",
-    """WITH v AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x FROM embeddings),
-    zp AS (SELECT a.label, a.vec_id, avg(exp(-abs(a.x - b.x))) AS z FROM v a JOIN v b USING (label) GROUP BY ALL)
+    """WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    zp AS (SELECT a.label, a.vec_id, avg(exp(-20 * list_max(list_transform(list_zip(a.e, b.e), lambda t: abs(t[1] - t[2]))))) AS z
+      FROM v a JOIN v b USING (label) GROUP BY ALL)
     SELECT label, round(exp(-avg(ln(z + 1e-10))), 6) AS diversity, count(*) AS n_species FROM zp GROUP BY label""",
 )
 def custom_hill(spark, folder):
-    df = table(spark, folder, "embeddings").withColumn("x", F.col("embedding")[0].cast("double"))
+    """A user's similarity of whole vectors, with a bound by the boxes around blocks of neighbours."""
+    df = table(spark, folder, "embeddings")
+    df = df.withColumn("x", F.col("embedding").cast("array<double>")).withColumn("first", F.col("x")[0])
 
     def near(a, b):
-        return np.exp(-np.abs(np.array(a)[:, None] - np.array(b)[None, :]))
+        return np.exp(-20 * _gap(a, b))
+
+    def box(rows):
+        return np.min(rows, axis=0), np.max(rows, axis=0)
+
+    def upper(a, b):
+        return float(np.exp(-20 * np.maximum(np.maximum(a[0] - b[1], b[0] - a[1]), 0).max()))
 
-    out = custom.hill_custom(df, ["label"], "vec_id", "x", near, height=32)
+    out = custom.hill_custom(df, ["label"], "vec_id", "x", near, height=32, near="first", summary=box, upper=upper)
     return rounded(out.select("label", "diversity", "n_species"), "diversity")
 
 

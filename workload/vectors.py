@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from effnum.operators import hill, vectors
 
-from .registry import query, rounded, table
+from .registry import SQL, query, rounded, table
 
 # The definition: every pair of a group, the diagonal at one.
 PAIRS = """
@@ -189,3 +189,53 @@ def mean_cosine(spark, folder):
 )
 def similarity_pairs(spark, folder):
     return rounded(vectors.pairs(_embeddings(spark, folder), ["label"], "vec_id", "embedding"), "sim")
+
+
+# Blocks of a few rows: the route of large groups, with balls and tiles, on any table.
+def _in_blocks(spark, folder, df, **similarity):
+    out = vectors.document_diversity(df, ["label"], "vec_id", "embedding", height=16, **similarity)
+    return rounded(out, "diversity")
+
+
+def _scaled(spark, folder):
+    """Vectors thirty times as long, so that far ones have a similarity near zero."""
+    return _embeddings(spark, folder).withColumn(
+        "embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * F.lit(30.0))
+    )
+
+
+# Everything is so far apart that nothing but the species themselves is left: saturated.
+@query(
+    "hill_exp_l1_in_balls_by_label",
+    _hill_sql("exp(-30 * l1)").replace("false AS saturated", "count(*) > 1 AND max(z) - 1.0 / count(*) <= 1e-10 AS saturated"),
+)
+def hill_exp_l1_balls(spark, folder):
+    return _in_blocks(spark, folder, _scaled(spark, folder), metric="l1", postprocess="exp")
+
+
+@query("hill_exp_linf_in_balls_by_label", _hill_sql("exp(-30 * linf)"))
+def hill_exp_linf_balls(spark, folder):
+    return _in_blocks(spark, folder, _scaled(spark, folder), metric="linf", postprocess="exp")
+
+
+@query("hill_exp_l2_in_balls_by_label", _hill_sql("exp(-l2)"))
+def hill_exp_l2_balls(spark, folder):
+    return _in_blocks(spark, folder, _embeddings(spark, folder), metric="l2sq", postprocess="exp")
+
+
+@query("hill_mean_adjusted_in_balls_by_label", SQL["hill_mean_adjusted_by_label"])
+def hill_mean_adjusted_balls(spark, folder):
+    return _in_blocks(spark, folder, _embeddings(spark, folder), power=True, mean_adjust=True)
+
+
+@query("hill_squared_cosine_in_blocks_by_label", SQL["hill_squared_cosine_by_label"])
+def hill_squared_cosine_blocks(spark, folder):
+    """Second moments of groups of several blocks."""
+    return _in_blocks(spark, folder, _embeddings(spark, folder), power=True)
+
+
+@query("hill_weighted_in_balls_by_label", SQL["hill_weighted_by_label"].replace("c * c", "exp(-l1)"))
+def hill_weighted_balls(spark, folder):
+    df = _embeddings(spark, folder).withColumn("w", F.lit(1) + F.col("vec_id") % 3)
+    out = _in_blocks(spark, folder, df, metric="l1", postprocess="exp", weight="w")
+    return out.select("label", "diversity")
