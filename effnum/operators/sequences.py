@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keyed, unkeyed
+from ..session import cut_lineage, keyed, unkeyed
 from . import blocks as bl
 from . import hill, tiles
+from .ordinals import ordinal
 
 HEIGHT = 256  # distinct sequences per block
 TABLE_BYTES = 32 << 20  # bound on the working tables of one scoring step
@@ -237,15 +238,23 @@ def _flat(column: pa.ListArray) -> np.ndarray:
 
 
 def distinct_sums(
-    counted: DataFrame, keys: list[str], feature: str, whole, own, cross, height: int = HEIGHT
+    counted: DataFrame, keys: list[str], feature: str, whole, own, cross, height: int = HEIGHT,
+    order: Column | None = None, skip=None, extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``keys..., n, feature, cnt, other`` over the distinct features of each group.
 
     The kernels return per feature the count-weighted sum of its scores against the
     *other* features: ``whole`` and ``own`` within one block (of a group that is one
-    block, and of one that has several), ``cross`` between two blocks.
+    block, and of one that has several), ``cross`` between two blocks. With ``order``,
+    blocks hold features that follow each other in it, and ``skip`` rules out pairs of
+    blocks by the columns ``extra`` (expressions over ``rows``).
     """
-    small, large = bl.packed(counted, keys, None, [feature, "cnt"], height, count="cnt")
+    if order is None:
+        small, large = bl.packed(counted, keys, None, [feature, "cnt"], height, count="cnt")
+    else:
+        placed = ordinal(counted.withColumn("_order", order), keys, ["_order", feature], "_pos")
+        placed = placed.withColumn("_blk", F.floor(F.col("_pos") / F.lit(height)).cast("int"))
+        small, large = bl.split(cut_lineage(bl.gather(placed, keys, None, [feature, "cnt"], height, "_blk", count="cnt")))
     a, ca = F.col(f"rows.{feature}").alias("a"), F.col("rows.cnt").alias("ca")
     parts = []
     if small is not None:
@@ -253,7 +262,8 @@ def distinct_sums(
     if large is not None:
         single = bl.run(large.select(*keys, "blk", a, ca), keys, own)
         sides = {"a": F.col(f"rows.{feature}"), "ca": F.col("rows.cnt")}, {"b": F.col(f"rows.{feature}"), "cb": F.col("rows.cnt")}
-        double = tiles.tile_sums(large, keys, *sides, cross)
+        blocks = large.withColumns(extra or {})
+        double = tiles.tile_sums(blocks, keys, *sides, cross, skip, list(extra or {}))
         sums = bl.add_up(single.unionByName(double), [*keys, "blk"])
         parts.append(bl.unpack(large, sums, keys, [feature, "cnt"]))
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("sum", "other")
