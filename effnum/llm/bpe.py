@@ -1,8 +1,8 @@
 """BPE encoding and decoding of whole texts by dynamic programming over prefixes.
 
 For every prefix of a word there is at most one token that can end its BPE encoding.
-All tokens that end at a position come from a suffix automaton over the vocabulary; a
-token is the right one if the encoding of the prefix before it ends with a token that is
+All tokens that end at a position come from an automaton with suffix links over the
+vocabulary (Aho and Corasick's); a token is the right one if the encoding of the prefix before it ends with a token that is
 compatible with it: merging over the border would never have come first. The last token
 of each prefix is stored, and following the back-pointers gives the ids in linear time,
 whatever the length of a word. Compatible pairs and encoded words are remembered per
@@ -12,7 +12,8 @@ Each document is a row of its own: no shuffle, one pass, and memory for one Arro
 
 Defined cases: a null or empty text has no ids, and decodes to an empty text; a special
 token's own string inside a text becomes that token's id, as in the library; characters
-dropped by the pre-tokenizer give no ids; other columns of the input are not read.
+dropped by the pre-tokenizer give no ids; rows that are repeated, share an id or have
+none are encoded each for itself; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +76,8 @@ class WordBpe:
             self.merged[left << 20 | right] = token
             self.split[token] = (left, right)
             self.rank[token] = rank
+        import ahocorasick
+
         # The automaton reads bytes; a word's last byte is shifted out of the others' range.
         characters = byte_characters()
         byte_of = {c: b for b, c in enumerate(characters)}
