@@ -4,22 +4,33 @@ Every stage is written as Parquet and read again, so a lost executor costs at mo
 stage. Toxic documents go, repeated lines go, of each group of near duplicates the
 document with the smallest id stays, sources are mixed to their target weights (a
 document taken twice is two rows), and the last stage returns the ids' digests.
+
+Defined cases: a null or empty text is an ordinary document for toxicity (scored by the
+bias) and lines (nothing to drop), never a near duplicate, of size 0 in the mixing and
+without tokens at the end; rows that are repeated or share an id are rows of their own
+until the near duplicates, where one row of each group stays; rows without an id stay if
+their group has no row with one; a null source is a source of its own; texts of any
+length are read whole; if all usable labels agree, or there are none, nothing is known
+about toxicity and all documents stay; an empty table gives an empty result; further
+columns, whatever their names, are carried through all stages but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effnum.llm import bpe, line_dedup, mixing, near_duplicates, toxicity
 from effnum.llm.common import read
+from effnum.session import Scratch
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the cut; trained on the labels of these documents."""
-    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), out="__llm_toxic")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    if not model[0].any():  # labels of one kind only tell nothing
+        return docs
+    scored = toxicity.score(docs, model, out="__llm_toxic")
     return scored.where(F.col("__llm_toxic") < toxicity.CUT).drop("__llm_toxic")
 
 
@@ -57,13 +68,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between is written below ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("the pipeline needs a shared folder: set spark.checkpoint.dir")
-    docs = read(spark, sf_dir, "documents")
-    own = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        path = f"{own}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    scratch = Scratch(spark)
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
