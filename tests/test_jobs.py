@@ -112,8 +112,62 @@ def test_distributed_selection_equals_one_task(spark, method, monkeypatch):
     key = lambda r: (r.g, r["rank"])
     for a, b in zip(sorted(want, key=key), sorted(got, key=key), strict=True):
         assert (a.g, a["rank"], a.id) == (b.g, b["rank"], b.id) and a.score == pytest.approx(b.score, abs=1e-9)
-    rounds = selection.select_diverse(df, 4, method, by=["g"], mode="scalable").collect()
-    assert len({(r.g, r.id) for r in rounds}) == 8
+
+
+@pytest.mark.parametrize("method", ["facility_location", "max_min"])
+def test_lazy_steps_choose_what_greedy_chooses(spark, method, monkeypatch):
+    """Few rows settled at a time, repeated vectors, so gains tie."""
+    from effnum.operators import blocks
+
+    x = np.random.default_rng(5).normal(size=(25, 3))
+    df = points(spark, np.vstack([x, x[:5]]))
+    k = 4 if method == "facility_location" else 9
+    want = [r.id for r in selection.select_diverse(df, k, method, by=["g"]).orderBy("rank").collect()]
+    monkeypatch.setattr(selection, "GROUP_ROWS", 20)
+    monkeypatch.setattr(selection, "LAZY", 10)
+    monkeypatch.setattr(blocks, "rows_per_block", lambda dim: 15)
+    passes = []
+    kept = selection._all_pairs
+    monkeypatch.setattr(selection, "_all_pairs", lambda *a: passes.append(1) or kept(*a))
+    got = [r.id for r in selection.select_diverse(df, k, method, by=["g"]).orderBy("rank").collect()]
+    assert got == want
+    # All pairs are not met once per choice.
+    if method == "facility_location":
+        assert len(passes) < k
+
+
+@pytest.mark.parametrize("method", selection.METHODS)
+def test_scalable_selection_measures_winners_on_whole_groups(spark, method, monkeypatch):
+    """Equal to greedy over the parts' winners with gains over all rows, at any size of a group."""
+    from effnum.operators import blocks
+
+    monkeypatch.setattr(selection, "GROUP_ROWS", 20)
+    monkeypatch.setattr(blocks, "rows_per_block", lambda dim: 15)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3))
+    df = points(spark, x).unionByName(points(spark, rng.normal(size=(4, 3)), "h"))
+    rows = selection.select_diverse(df, 4, method, by=["g"], mode="scalable").collect()
+    exact = selection.select_diverse(df, 4, method, by=["g"]).collect()
+    # A group of one part is chosen from as in the exact mode, whatever other groups hold.
+    assert {(r["rank"], r.id) for r in rows if r.g == "h"} == {(r["rank"], r.id) for r in exact if r.g == "h"}
+    got = [r.id for r in sorted(rows, key=lambda r: r["rank"]) if r.g == "g"]
+    assert len(set(got)) == 4
+    if method == "balanced":
+        return
+    src = selection._prepared(df.where("g = 'g'"), ["g"], "id", "vec", None, method, "cosine", 42)
+    pool = sorted(r.sid for r in selection._winners(src, ["g"], 4, method, "cosine", 0.5).collect())
+    assert 4 < len(pool) < 40
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    z, chosen = u @ u.T, [got[0]]
+    if method == "facility_location":
+        assert got[0] == max(pool, key=lambda c: z[:, c].sum())
+    while len(chosen) < 4:
+        if method == "facility_location":
+            held = np.maximum(z[:, chosen].max(1), 0)
+            chosen.append(max((c for c in pool if c not in chosen), key=lambda c: np.maximum(z[:, c] - held, 0).sum()))
+        else:
+            chosen.append(min((c for c in pool if c not in chosen), key=lambda c: z[c, chosen].max()))
+    assert got == chosen
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.02])
