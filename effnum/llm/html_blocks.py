@@ -190,6 +190,9 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+CELLS = 1 << 16  # blocks of one padded batch of pages
+
+
 class Labeller:
     """A bidirectional LSTM with a logistic layer over both directions' states."""
 
@@ -253,8 +256,7 @@ class Labeller:
         rng = np.random.default_rng(SEED)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
-        order = np.argsort([len(p) for p in pages], kind="stable")
-        groups = [order[i : i + 16] for i in range(0, len(order), 16)]
+        groups = batches(pages, 16)
         step = 0
         for epoch in range(EPOCHS):
             for g in rng.permutation(len(groups)):
@@ -273,9 +275,9 @@ class Labeller:
     def keep(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """For every page which blocks stay; pages of like length run together."""
         out: list = [np.zeros(0, bool)] * len(pages)
-        order = [i for i in np.argsort([len(p) for p in pages], kind="stable") if len(pages[i])]
-        for lo in range(0, len(order), 64):
-            part = order[lo : lo + 64]
+        for part in batches(pages, 64):
+            if not len(pages[part[-1]]):
+                continue
             x, mask = padded([pages[i] for i in part])
             p = self.probabilities(x, mask)
             for j, i in enumerate(part):
@@ -283,6 +285,17 @@ class Labeller:
         return out
 
 
+def batches(pages: list[np.ndarray], most: int) -> list[list[int]]:
+    """Pages of like length together: at most ``most``, and no more than fit ``CELLS`` blocks
+    once padded, so that a very long page runs alone instead of stretching its neighbours."""
+    out: list[list[int]] = []
+    for i in np.argsort([len(p) for p in pages], kind="stable"):
+        if not out or len(out[-1]) == most or (len(out[-1]) + 1) * len(pages[i]) > CELLS:
+            out.append([])
+        out[-1].append(int(i))
+    return out
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
     x, mask = np.zeros((len(pages), steps, pages[0].shape[1]), np.float32), np.zeros((len(pages), steps))
