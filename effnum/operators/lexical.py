@@ -52,43 +52,55 @@ def type_token_ratio(
     return distinct_n(df, by, text, 1, lowercase, approximate)
 
 
-def _gram_counts(docs: DataFrame, keys: list[str], id: str, max_n: int) -> DataFrame:
-    """``keys..., id, n, gram, cnt``: n-gram counts of every document."""
+def occurrences(docs: DataFrame, keys: list[str], id: str, max_n: int) -> DataFrame:
+    """``keys..., id, n, gram, nth``: every n-gram occurrence of a document, numbered among
+    the document's occurrences of that n-gram.
+
+    A document's n-grams are sorted and numbered inside its row, before anything is
+    shuffled. ``gram`` is 128 bits of hash instead of the text.
+    """
     per_order = F.array(
         *[
-            F.struct(F.lit(n).alias("n"), tx.ngrams(F.col("_toks"), n).alias("grams"))
+            F.struct(F.lit(n).alias("n"), F.sort_array(tx.ngrams(F.col("_toks"), n)).alias("grams"))
             for n in range(1, max_n + 1)
         ]
     )
-    return (
-        docs.select(*keys, id, F.explode(per_order).alias("_o"))
-        .select(*keys, id, F.col("_o.n").alias("n"), F.col("_o.grams").alias("grams"))
-        .select(*keys, id, "n", F.explode("grams").alias("gram"))
-        .groupBy(*keys, id, "n", "gram")
-        .agg(F.count("*").alias("cnt"))
+    rows = docs.select(*keys, id, F.explode(per_order).alias("_o")).select(
+        *keys, id, F.col("_o.n").alias("n"), F.col("_o.grams").alias("_g")
+    )
+    grams, size = F.col("_g"), F.size("_g")
+    # The previous n-gram of the sorted array; equal ones are neighbours.
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(grams, 1, F.greatest(size - 1, F.lit(0))))
+    places = F.zip_with(grams, before, lambda g, b: ~g.eqNullSafe(b))
+    starts = F.filter(
+        F.transform(places, lambda first, k: F.when(first, k)), lambda k: k.isNotNull()
     )
+    rows = rows.select(*keys, id, "n", "_g", starts.alias("_s"))
+    ends = F.concat(F.slice("_s", 2, F.size("_s")), F.array(F.size("_g")))
+    runs = F.zip_with(
+        "_s", ends, lambda a, b: F.struct(F.get(F.col("_g"), a).alias("gram"), (b - a).alias("cnt"))
+    )
+    counted = rows.select(*keys, id, "n", F.explode(runs).alias("_r"))
+    gram = F.struct(F.xxhash64("_r.gram").alias("a"), F.xxhash64(F.lit(1), "_r.gram").alias("b"))
+    return counted.select(*keys, id, "n", gram.alias("gram"), F.explode(F.sequence(F.lit(1), F.col("_r.cnt"))).alias("nth"))
 
 
-def lost_matches(counts: DataFrame, keys: list[str], id: str, max_n: int) -> DataFrame:
-    """``keys..., id, lost_1 .. lost_n`` from n-gram counts: the matches that clipping
+def lost_matches(grams: DataFrame, keys: list[str], id: str, max_n: int) -> DataFrame:
+    """``keys..., id, lost_1 .. lost_n`` from numbered n-grams: the matches that clipping
     takes from a document, per order. Documents that lose none have no row.
 
     A document's count of an n-gram is clipped at the largest count in any other
-    document. That changes nothing unless the document alone holds the largest
-    count; then the excess over the second largest is lost. So it is enough to
-    know, per n-gram, the two largest counts and the sole owner of the largest:
-    the n-gram table is grouped, never joined with itself, and a frequent n-gram
-    is combined map-side into its few distinct counts.
+    document. So an occurrence is lost where no other document has as many: where the
+    document alone holds the n-gram's occurrence of that number. One aggregate of a
+    count and a smallest owner decides that; it is combined map-side, and no state grows
+    with the number of documents or of different counts.
     """
-    levels = counts.groupBy(*keys, "n", "gram", "cnt").agg(
-        F.count("*").alias("owners"), F.min(id).alias("owner")
+    holders = grams.groupBy(*keys, "n", "gram.a", "gram.b", "nth").agg(
+        F.count("*").alias("_h"), F.min(id).alias("_owner")
     )
-    ranked = F.sort_array(F.collect_list(F.struct("cnt", "owners", "owner")), asc=False)
-    top = levels.groupBy(*keys, "n", "gram").agg(ranked.alias("_top")).where(F.col("_top")[0]["owners"] == 1)
-    second = F.coalesce(F.try_element_at(F.col("_top"), F.lit(2))["cnt"], F.lit(0))
-    excess = top.select(*keys, F.col("_top")[0]["owner"].alias(id), "n", (F.col("_top")[0]["cnt"] - second).alias("_x"))
-    return excess.groupBy(*keys, id).agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("_x"))).alias(f"lost_{n}") for n in range(1, max_n + 1)]
+    alone = holders.where(F.col("_h") == 1).select(*keys, F.col("_owner").alias(id), "n")
+    return alone.groupBy(*keys, id).agg(
+        *[F.count_if(F.col("n") == n).alias(f"lost_{n}") for n in range(1, max_n + 1)]
     )
 
 
@@ -128,11 +140,12 @@ def document_bleu(
     Documents without tokens are left out, as are groups with fewer than two.
     """
     src, keys = keyed(df, by)
-    docs = src.select(*keys, id, tx.tokens(text, lowercase).alias("_toks")).where(
-        F.size("_toks") > 0
-    )
-    lengths = docs.select(*keys, id, F.size("_toks").alias("len"))
-    lost = lost_matches(_gram_counts(docs, keys, id, max_n), keys, id, max_n)
+    docs = src.select(*keys, id, tx.tokens(text, lowercase).alias("_toks"))
+    # Exploding the length, or nothing, leaves texts without tokens out. A filter would be
+    # pushed below the projection and find the tokens of every text a second time.
+    length = F.filter(F.array(F.size("_toks")), lambda x: x > 0)
+    lengths = docs.select(*keys, id, F.explode(length).alias("len"))
+    lost = lost_matches(occurrences(docs, keys, id, max_n), keys, id, max_n)
     out = (
         lengths.join(closest_lengths(lengths, keys), [*keys, "len"])
         .where(F.col("ref_len").isNotNull())
