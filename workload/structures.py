@@ -189,6 +189,24 @@ def degree_profile_hill(spark, folder):
     return rounded(trees.constituency_diversity(edges, ["conv_id"], similarity="ldp"), "diversity")
 
 
+@query(
+    "feather_by_order",
+    """
+    WITH k AS (SELECT o_orderkey, count(l_orderkey)::DOUBLE AS k FROM orders
+      LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    w AS (SELECT o_orderkey, k, r, p, t, 2.5 * (t + 1) / 4 AS theta
+      FROM k, (SELECT unnest([1, 2]) AS r), (SELECT unnest([0, 1]) AS p), (SELECT unnest([0, 1, 2, 3]) AS t)),
+    ends AS (SELECT *, CASE p WHEN 0 THEN cos(theta * ln(1 + k)) ELSE sin(theta * ln(1 + k)) END AS hub,
+      CASE p WHEN 0 THEN cos(theta * ln(2.0)) ELSE sin(theta * ln(2.0)) END AS leaf FROM w)
+    SELECT o_orderkey, ((r - 1) * 8 + p * 4 + t)::INTEGER AS place,
+      round(CASE WHEN k = 0 THEN 0.0 WHEN r = 1 THEN (leaf + k * hub) / (k + 1)
+        ELSE (hub + k * leaf) / (k + 1) END, 6) AS value FROM ends""",
+)
+def feather_waves(spark, folder):
+    vectors = graphs.feather(order_trees(spark, folder), [], "o_orderkey", order=2, points=4)
+    return rounded(vectors.select("o_orderkey", F.posexplode("vec").alias("place", "value")), "value")
+
+
 @query("feather_hill_by_conversation")
 def feather_hill(spark, folder):
     turns = table(spark, folder, "conversations").withColumn("doc_id", F.col("turn"))
