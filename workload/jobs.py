@@ -629,6 +629,21 @@ def windowed_semantic(spark, folder):
     )
 
 
+@query(
+    "windowed_squared_diversity",
+    """WITH e AS (SELECT event_id, date_trunc('day', ts) AS d, [value, (user_id % 7)::DOUBLE, hour(ts)::DOUBLE] AS v FROM events),
+    u AS (SELECT event_id, d, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM e),
+    z AS (SELECT a.d, a.event_id, avg(CASE WHEN a.event_id = b.event_id THEN 1.0 WHEN a.l = 0 OR b.l = 0 THEN 0.0
+        ELSE (list_inner_product(a.v, b.v) / (a.l * b.l)) ** 2 END) AS z FROM u a JOIN u b USING (d) GROUP BY ALL)
+    SELECT d::DATE::VARCHAR AS day, count(*) AS n_species, round(1 / avg(z), 6) AS diversity FROM z GROUP BY d""",
+)
+def windowed_squared(spark, folder):
+    out = windows.squared_diversity(event_vectors(spark, folder), "ts", "vec", "1 day", id="event_id")
+    return rounded(
+        out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_species", "diversity"), "diversity"
+    )
+
+
 @query("windowed_type_token_ratio")
 def windowed_ttr(spark, folder):
     events = table(spark, folder, "events").withColumn("text", F.concat_ws(" ", "event_type", "props"))
