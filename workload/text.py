@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effnum.functions import text as tx
-from effnum.operators import encode, phonology, tokens
+from effnum.operators import cooccur, encode, phonology, tokens
 
 from .registry import query, rounded, table
 
@@ -292,3 +292,43 @@ def word2vec(spark, folder):
     turns = table(spark, folder, "conversations").withColumn("id", F.struct("conv_id", "turn"))
     vectors = encode.word_vectors(turns, dim=16)
     return encode.mean_of_words(turns, vectors, "id").select("id.conv_id", "id.turn", "vec")
+
+
+@query(
+    "word_cooccurrences",
+    r"""
+    WITH toks AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM conversations),
+    pos AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM toks),
+    near AS (SELECT t[i] AS x, t[i + k] AS y FROM pos, (SELECT unnest([1, 2]) AS k) WHERE i + k <= len(t)),
+    ends AS (SELECT x AS a, y AS b FROM near UNION ALL SELECT y AS a, x AS b FROM near)
+    SELECT a, b, count(*) AS n FROM ends GROUP BY ALL""",
+)
+def word_cooccurrences(spark, folder):
+    return cooccur.cooccurrences(table(spark, folder, "conversations"), reach=2)
+
+
+@query(
+    "word_associations",
+    r"""
+    WITH toks AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM conversations),
+    pos AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM toks),
+    near AS (SELECT t[i] AS x, t[i + k] AS y FROM pos, (SELECT unnest([1, 2]) AS k) WHERE i + k <= len(t)),
+    ends AS (SELECT x AS a, y AS b FROM near UNION ALL SELECT y AS a, x AS b FROM near),
+    n AS (SELECT a, b, count(*) AS n FROM ends GROUP BY ALL),
+    tot AS (SELECT a, sum(n) AS s FROM n GROUP BY a)
+    SELECT n.a, n.b, round(ln(n.n * (SELECT sum(s) FROM tot)::DOUBLE / (l.s::DOUBLE * r.s::DOUBLE)), 6) AS m
+    FROM n JOIN tot l ON l.a = n.a JOIN tot r ON r.a = n.b
+    WHERE ln(n.n * (SELECT sum(s) FROM tot)::DOUBLE / (l.s::DOUBLE * r.s::DOUBLE)) > 0.000001""",
+)
+def word_associations(spark, folder):
+    pairs = cooccur.cooccurrences(table(spark, folder, "conversations"), reach=2)
+    found = cooccur.associations(pairs)
+    # Associations of zero, which rounding may leave on either side, are in neither.
+    return rounded(found.where(F.col("m") > 0.000001), "m")
+
+
+@query("document_vectors_cooccurrence")
+def cooccurrence_vectors(spark, folder):
+    turns = table(spark, folder, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    vectors = cooccur.word_vectors(turns, dim=16)
+    return encode.mean_of_words(turns, vectors, "id").select("id.conv_id", "id.turn", "vec")
