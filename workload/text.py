@@ -246,13 +246,44 @@ def pos_tags(spark, folder):
     return tags.select("conv_id", "turn", F.array_join("tags", " ").alias("tags"))
 
 
-@query("rhythm_from_lexicon")
+# The first vowel letter of a listed word bears stress where its place, from 0, is odd.
+VOWEL_AT = "length(regexp_extract(x, '^[^aeiou]*'))"
+
+
+@query(
+    "rhythm_from_lexicon",
+    rf"""WITH lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM benchmark),
+    c AS (SELECT conv_id, turn, regexp_replace({CLEAN}, '[!-/:-@\[-`{{-~]', '', 'g') AS t FROM conversations),
+    w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+'),
+        lambda x: regexp_full_match(x, '[a-z]+')) AS w FROM c),
+    e AS (SELECT conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+    k AS (SELECT conv_id, turn, i,
+        CASE WHEN lex.word IS NULL THEN len(regexp_extract_all(x, '[aeiouy]+')) <= 2
+             ELSE {VOWEL_AT} < length(x) AND {VOWEL_AT} % 2 = 1 END AS stress,
+        regexp_matches(CASE WHEN {FIRST} <> '' THEN {FIRST} ELSE x END, '{HEAVY}|[^aeiou]$') AS weight
+      FROM e LEFT JOIN lex ON lex.word = x),
+    r AS (SELECT conv_id, turn, string_agg(stress::INTEGER || '' || weight::INTEGER, ' ' ORDER BY i) AS rhythm
+      FROM k GROUP BY ALL)
+    SELECT conv_id, turn, coalesce(rhythm, '') AS rhythm FROM w LEFT JOIN r USING (conv_id, turn)""",
+)
 def rhythm_from_lexicon(spark, folder):
     turns = table(spark, folder, "conversations")
-    return phonology.rhythm_codes(turns, ["conv_id", "turn"], "text", derived_lexicon(spark, folder))
+    codes = phonology.rhythm_codes(turns, ["conv_id", "turn"], "text", derived_lexicon(spark, folder))
+    return codes.select("conv_id", "turn", F.array_join("rhythm", " ").alias("rhythm"))
 
 
-@query("phonemes_from_lexicon")
+@query(
+    "phonemes_from_lexicon",
+    rf"""WITH lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM benchmark),
+    c AS (SELECT conv_id, turn, regexp_extract_all(lower({CLEAN}), '[\p{{L}}\p{{N}}_]+') AS w FROM conversations),
+    e AS (SELECT conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM c),
+    p AS (SELECT conv_id, turn, i, CASE WHEN lex.word IS NULL THEN string_split(x, '')
+        ELSE list_transform(string_split(upper(replace(x, 'ß', 'ss')), ''), lambda l, k:
+          CASE WHEN regexp_matches(l, '[AEIOU]') THEN l || ((k - 1) % 2) ELSE l END) END AS ph
+      FROM e LEFT JOIN lex ON lex.word = x),
+    r AS (SELECT conv_id, turn, string_agg(array_to_string(ph, ' '), ' ' ORDER BY i) AS phonemes FROM p GROUP BY ALL)
+    SELECT conv_id, turn, coalesce(phonemes, '') AS phonemes FROM c LEFT JOIN r USING (conv_id, turn)""",
+)
 def phonemes_from_lexicon(spark, folder):
     turns = table(spark, folder, "conversations")
     return phonology.phonemes(turns, ["conv_id", "turn"], "text", derived_lexicon(spark, folder))
