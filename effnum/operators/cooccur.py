@@ -49,7 +49,8 @@ def associations(pairs: DataFrame) -> DataFrame:
     left = shares.select("a", (F.col("_n") / F.col("_all")).alias("_pa"), "_all")
     right = totals.select(F.col("a").alias("b"), F.col("_n").alias("_nb"))
     m = F.log(F.col("n") / (F.col("_pa") * F.col("_nb")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", m.alias("m")).where(F.col("m") > 0)
+    # Spark takes an exploded table for no larger than its input, and would broadcast the pairs.
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", m.alias("m")).where(F.col("m") > 0)
 
 
 def _columns(k: int) -> list[str]:
@@ -105,7 +106,7 @@ def leading_vectors(matrix: DataFrame, dim: int, passes: int = 8, seed: int = 42
         names = _columns(k)
         far = block.withColumnRenamed("a", "b")
         sums = [F.sum(F.col("m") * F.col(c)).alias(c) for c in names]
-        product = cut_lineage(kept.join(far, "b").groupBy("a").agg(*sums))
+        product = cut_lineage(kept.join(far.hint("merge"), "b").groupBy("a").agg(*sums))
         squares, axes = np.linalg.eigh(_gram(product, k))
         order = np.argsort(squares)[::-1]
         order = order[squares[order] > TINY * max(squares.max(), 0.0)]
@@ -133,10 +134,10 @@ def word_vectors(
     words = counted.where(F.col("_n") >= min_count).select("word")
     pairs = cooccurrences(df, text, reach)
     if min_count > 1:
-        pairs = pairs.join(words.withColumnRenamed("word", "a"), "a", "left_semi").join(
-            words.withColumnRenamed("word", "b"), "b", "left_semi"
+        pairs = pairs.join(words.withColumnRenamed("word", "a").hint("merge"), "a", "left_semi").join(
+            words.withColumnRenamed("word", "b").hint("merge"), "b", "left_semi"
         )
     found, values = leading_vectors(associations(pairs), dim, passes, seed)
     have = [F.coalesce(F.col(c), F.lit(0.0)) for c in _columns(len(values))]
     vec = F.array(*have, *[F.lit(0.0)] * (dim - len(have)))
-    return words.join(found.withColumnRenamed("a", "word"), "word", "left").select("word", vec.alias("vec"))
+    return words.join(found.withColumnRenamed("a", "word").hint("merge"), "word", "left").select("word", vec.alias("vec"))

@@ -56,3 +56,10 @@ def test_small_and_empty_corpora(spark):
     assert got["c"] == [0.0] * 3 and sum(x * x for x in got["a"]) == pytest.approx(np.log(2), rel=1e-6)
     assert {r.word for r in cooccur.word_vectors(df, dim=3, min_count=2).collect()} == {"a", "b"}
     assert cooccur.word_vectors(df.limit(0), dim=3).collect() == []
+
+
+def test_pairs_are_not_broadcast(spark, texts):
+    # Spark's estimate of an exploded table is that of its input, far below what 13 million pairs take.
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    plan = cooccur.associations(cooccur.cooccurrences(df, reach=3))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
