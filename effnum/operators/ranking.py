@@ -9,6 +9,9 @@ from ..session import partitions
 from .ordinals import head, ordinal
 from .vectors import pair_score
 
+TASK_PAIRS = 1 << 18  # pairs a task scores
+MOST_TASKS = 64  # tasks per shuffle partition
+
 
 def against_queries(
     queries: DataFrame, corpus: DataFrame, feature: str, query_id: str = "query_id", id: str = "doc_id"
@@ -17,16 +20,19 @@ def against_queries(
 
     Scoring all documents for all queries is the task itself. It is an equi-join on
     a bucket of the corpus, with the queries offered to every bucket: the corpus is
-    never copied, a small query table is broadcast by Spark, and a large one is
-    joined bucket by bucket. There are as many buckets as shuffle partitions, so
-    scoring spreads over as many tasks as the session provides for.
+    never copied, and the queries are joined bucket by bucket. The number of tasks
+    follows the number of pairs, from the session's shuffle partitions upwards, so a
+    task stays short when the corpus grows.
     """
-    buckets = partitions(corpus)
+    least = partitions(corpus)
+    tasks = min(max(least, -(-queries.count() * corpus.count() // TASK_PAIRS)), MOST_TASKS * least)
+    buckets = 4 * tasks  # several a task, so that tasks are about equal
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(feature).alias("_q"), every.alias("_slot"))
     slot = F.pmod(F.xxhash64(id), F.lit(buckets)).cast("int")
     c = corpus.select(F.col(id).alias("id"), F.col(feature).alias("_c"), slot.alias("_slot"))
-    return c.join(q, "_slot").drop("_slot")
+    # Explicit numbers: the work of a pair is far larger than its bytes, by which Spark would merge tasks.
+    return c.repartition(tasks, "_slot").join(q.repartition(tasks, "_slot").hint("merge"), "_slot").drop("_slot")
 
 
 def top_k(scored: DataFrame, k: int = 1) -> DataFrame:
