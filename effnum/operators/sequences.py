@@ -309,14 +309,15 @@ def similarity_mass(
     """
     src, keys = keyed(df, by)
     rows = src.select(*keys, F.col(seq).alias("_f"), (valid if valid is not None else F.lit(True)).alias("valid"))
-    present = rows.where(F.col("_f").isNotNull())
-    counted = present.groupBy(*keys, "_f").agg(F.count("*").alias("cnt"))
+    # What makes the sequences may cost more than all that follows, which reads them several times.
+    held = cut_lineage(rows.groupBy(*keys, "_f").agg(F.count("*").alias("cnt"), F.min("valid").alias("valid")))
+    counted = held.where(F.col("_f").isNotNull()).drop("valid")
     longest = counted.groupBy(*keys).agg(F.greatest(F.max(F.size("_f")), F.lit(1)).alias("_len"))
     kernels = _kernels(tuple(float(s) for s in scores))
     sums = distinct_sums(counted, keys, "_f", *kernels).join(longest, keys)
     self_score = F.lit(float(scores[0])) * F.size("_f") / F.col("_len")
     raw = sums.select(*keys, "_f", "cnt", *counted_mass(self_score, F.col("other") / F.col("_len")))
-    flags = rows.groupBy(*keys).agg(F.min("valid").alias("valid"))
+    flags = held.groupBy(*keys).agg(F.min("valid").alias("valid"))
     nothing = F.lit(None).cast("double")
     marks = flags.select(
         *keys, F.lit(None).cast("array<string>").alias("_f"), F.lit(0).cast("bigint").alias("cnt"),
