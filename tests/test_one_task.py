@@ -45,3 +45,19 @@ def test_scoring_tasks_follow_the_pairs(spark, monkeypatch):
     pairs = ranking.against_queries(queries, corpus, "v")
     assert pairs.rdd.getNumPartitions() == 20
     assert pairs.distinct().count() == pairs.count() == 1200
+
+
+def test_words_without_markers_are_not_gathered(spark):
+    from effnum.operators import tokens
+
+    rows = [("a", 1, k, w, [float(k)]) for k, w in enumerate(["x", "y", None, "x"])] + [("a", 2, 0, "z", [9.0])]
+    marked = [("b", 1, 0, "un", [1.0]), ("b", 1, 1, "##do", [3.0]), ("b", 1, 2, "it", [5.0])]
+    shape = "g string, doc_id int, pos int, token string, vec array<double>"
+    want = {("a", 1, 0, "x", 0.0), ("a", 1, 1, "y", 1.0), ("a", 1, 2, "", 2.0), ("a", 1, 3, "x", 3.0), ("a", 2, 0, "z", 9.0)}
+    both = tokens.merge_subwords(spark.createDataFrame(rows + marked, shape), ["g"])
+    found = [(r.g, r.doc_id, r.word_no, r.word, r.vec[0]) for r in both.collect()]
+    assert set(found) == want | {("b", 1, 0, "undo", 2.0), ("b", 1, 1, "it", 5.0)} and len(found) == 7
+    alone = tokens.merge_subwords(spark.createDataFrame(rows, shape), ["g"])
+    assert len(alone.collect()) == 5
+    # The branch that gathers has none of these words.
+    assert "Union" in plan(alone)
