@@ -50,6 +50,7 @@ BLOCK = 64  # sets of a block in the comparison across components
 HEIGHT = 2048  # sets of a block in the comparison inside components
 BYTES = 1 << 22  # bytes of such a block
 COLUMNS = 4096  # elements (with the same sets) that are compared at a time
+KNOWN = 1 << 17  # pairs that a task remembers, so as not to write them again
 FILTER_BITS = 1 << 26
 ENUMERATED = 48  # differing elements from which on subsets of cells are enumerated
 SECOND = 3  # cells of a partition then; a signature leaves one of them out
@@ -274,15 +275,16 @@ def signature_rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "g long, s long")
 
 
-def _packed_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+def _packed_sets(docs: DataFrame, text: str, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``s, h``: the sets of ``wanted`` (column s) as sorted packed numbers.
 
-    A bit filter of the ids lets a task drop most other sets before they are shuffled;
-    the join drops the rest.
+    One text of every set is hashed again (``rows``: the hash t of the texts with a set s). A bit
+    filter of the texts' hashes lets a task leave out most other texts; the join drops the rest.
     """
     spark = SparkSession.active()
+    texts = rows.join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.min("t").alias("t"))
     # Spark counts bits from one.
-    got = wanted.select((F.pmod(F.col("s"), F.lit(FILTER_BITS)) + 1).alias("x"))
+    got = texts.select((F.pmod(F.col("t"), F.lit(FILTER_BITS)) + 1).alias("x"))
     place = (
         got.groupBy(F.bitmap_bucket_number("x").alias("k"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
@@ -296,19 +298,20 @@ def _packed_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     def run(batches):
         held = shared.value
         for b in batches:
-            for _, (h, edges) in _groups(b.column(0)):
+            t, once = np.unique(b.column(0).to_numpy(), return_index=True)
+            x = t % FILTER_BITS
+            near = (held[x >> 3] >> (x & 7).astype(np.uint8)) & 1
+            for _, (h, edges) in _groups(b.column(1).take(pa.array(np.sort(once[near > 0])))):
                 s = set_ids(h, edges)
-                x = s % FILTER_BITS
-                near = (held[x >> 3] >> (x & 7).astype(np.uint8)) & 1
                 first = np.zeros(len(s), bool)
                 first[np.unique(s, return_index=True)[1]] = True
-                at = np.flatnonzero((near > 0) & first & (np.diff(edges) > 0))
+                at = np.flatnonzero(first & (np.diff(edges) > 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s[at]), pa.array([h[edges[i] : edges[i + 1]].tobytes() for i in at], pa.binary())], ["s", "h"]
                 )
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "s long, h binary")
-    return rows.join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"])
+    found = docs.select(F.xxhash64(text).alias("t"), F.col(text).alias("text")).mapInArrow(run, "s long, h binary")
+    return found.join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -341,10 +344,10 @@ def may_link(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return apart * (SHARE[0] + SHARE[1]) <= sizes * (SHARE[1] - SHARE[0])
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+def _linked(pairs: DataFrame, docs: DataFrame, text: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Those of ``pairs`` (a, b) whose sets are similar, and the sets (s, h); their texts are hashed again for it."""
     ends = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    sets = cut_lineage(_packed_sets(docs, text, ends))
+    sets = cut_lineage(_packed_sets(docs, text, rows, ends))
     left = sets.select(F.col("s").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("s").alias("b"), F.col("h").alias("hb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
@@ -373,9 +376,12 @@ def components(links: DataFrame) -> DataFrame:
         low = label.join(near, "s").select("s", F.col("c").alias("old"), F.least("c", "m").alias("t"))
         up = label.select(F.col("s").alias("t"), F.col("c").alias("u"))
         new = cut_lineage(low.join(up, "t").select("s", "old", F.least("t", "u").alias("c")))
-        if new.where(F.col("c") != F.col("old")).isEmpty():
-            return new.select("s", "c")
+        done = new.where(F.col("c") != F.col("old")).isEmpty()
         label = new.select("s", "c")
+        del near, low, up, new
+        release(links.sparkSession)  # what the round left behind, here and on the driver
+        if done:
+            return label
 
 
 def _open(live: DataFrame, found: DataFrame) -> DataFrame:
@@ -397,11 +403,17 @@ def _open(live: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets in different components of one bucket (g, s, c) that may be similar.
+    """Pairs (a, b) of sets in different components of one bucket (g, s, c) that may be similar, once."""
+    return _candidates(rows, counts).distinct()
+
+
+def _candidates(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs of :func:`_across`, each about once a task.
 
     Buckets are cut into blocks, and blocks are compared with blocks by their cell counts:
     two sets differ in at least as many elements as their counts do, so nothing similar
-    is left out, and little else is let through.
+    is left out, and little else is let through. Two sets often meet in hundreds of buckets:
+    a task remembers the pairs it has written.
     """
 
     def block(batches):
@@ -429,18 +441,23 @@ def _across(rows: DataFrame, counts: DataFrame) -> DataFrame:
     pairs = left.join(blocks, "g").where(order & ~same).select(*[f"{x}1" for x in names], *names)
 
     def run(batches):
+        known: set[tuple[int, int]] = set()
         for b in batches:
-            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            new: set[tuple[int, int]] = set()
             for r in range(b.num_rows):
                 s1, c1, n1, s2, c2, n2 = (np.frombuffer(b.column(n)[r].as_py(), np.int64) for n in ("ss1", "cs1", "ns1", *names[:3]))
                 k1, k2 = (np.frombuffer(b.column(n)[r].as_py(), np.uint8).reshape(-1, CELLS).astype(np.int16) for n in ("ks1", "ks"))
                 apart = np.abs(k1[:, None] - k2[None]).sum(2, dtype=np.int64)
                 i, j = np.nonzero(may_link(apart, n1[:, None] + n2[None]) & (c1[:, None] != c2[None]))
-                x.append(np.maximum(s1[i], s2[j]))
-                y.append(np.minimum(s1[i], s2[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["a", "b"])
+                new.update(zip(np.maximum(s1[i], s2[j]).tolist(), np.minimum(s1[i], s2[j]).tolist()))
+            new -= known
+            if len(known) + len(new) > KNOWN:
+                known = set()
+            known |= new
+            both = np.array(list(new), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -566,7 +583,7 @@ def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     # First, of the partners that may be similar, the one with which a set shares most signatures.
     best = _near(star, counts).groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
     tested = cut_lineage(best)
-    links, sets = _linked(tested, docs, text)
+    links, sets = _linked(tested, docs, text, rows)
     found = components(links)
     release(docs.sparkSession)
     # Then the buckets whose sets still lie in different components.
@@ -575,7 +592,7 @@ def _resolved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     if not apart.isEmpty():
         pairs = cut_lineage(_across(apart, counts).join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            more, others = _linked(pairs, docs, text)
+            more, others = _linked(pairs, docs, text, rows)
             if not more.isEmpty():
                 found = components(links.union(more))
                 sets = sets.union(others.join(sets.select("s"), "s", "left_anti"))
