@@ -237,13 +237,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
                 ["k", "y", "cells", "share"],
             )
 
-    got = rows.mapInArrow(bags, "k string, y int, cells binary, share binary").toArrow().sort_by("k").to_pydict()
-    y = np.array(got["y"], np.float64)
-    if len(set(got["y"])) < 2:
-        p = 1 - 1e-9 if 1 in set(got["y"]) else 1e-9
-        return np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p)))
-    kept = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(got["cells"], got["share"])]
-    return train(kept, y, shares[1] / sum(shares.values()))
+    prior = shares[1] / sum(shares.values())
+
+    def learn(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        sample = pa.Table.from_batches(got).sort_by("k")
+        y = sample.column("y").to_numpy().astype(np.float64)
+        if len(np.unique(y)) < 2:
+            p = 1 - 1e-9 if y[0] else 1e-9
+            table, bias = np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p)))
+        else:
+            cells, share = (sample.column(c).to_pylist() for c in ("cells", "share"))
+            kept = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(cells, share)]
+            table, bias = train(kept, y, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], ["table", "bias"])
+
+    # The sample is bounded: one task learns from it, and only the model goes to the driver.
+    sample = rows.mapInArrow(bags, "k string, y int, cells binary, share binary").repartition(1)
+    model = sample.mapInArrow(learn, "table binary, bias double").collect()
+    if not model:  # no text of the sample is there
+        return np.zeros(1 << BITS, np.float32), float(np.log(1e-9 / (1 - 1e-9)))
+    return np.frombuffer(bytes(model[0]["table"]), np.float32), model[0]["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:

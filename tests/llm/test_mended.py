@@ -130,3 +130,19 @@ def test_pairs_of_many_buckets_are_written_once_a_task(spark, monkeypatch):
     for pairs in seen:
         by_task = pairs.groupBy("a", "b", F.spark_partition_id()).count()
         assert by_task.where("count > 1").isEmpty()
+
+
+def test_toxicity_learns_in_a_task(spark, monkeypatch):
+    """The driver gets the model, not the sample."""
+    rows = [(i, f"vile awful words {i}" if i % 3 == 0 else f"kind and gentle words {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    frame = type(docs)
+
+    def refuse(self):
+        raise AssertionError("the sample came to the driver")
+
+    monkeypatch.setattr(frame, "toArrow", refuse)
+    table, bias = toxicity.fit(docs, labels)
+    assert table.any() and np.isfinite(bias)
+    assert not toxicity.fit(docs.where("doc_id < 0"), labels)[0].any()
