@@ -40,3 +40,22 @@ def test_scores_in_place_are_the_same(monkeypatch):
     gaps = np.abs(a[:, None] - b[None])
     assert np.allclose(vectors._scores(a, b, "l1"), gaps.sum(2))
     assert np.array_equal(vectors._scores(a, b, "linf"), gaps.max(2))
+
+
+def test_selection_moves_blocks_in_tiles(spark, monkeypatch, tiny_blocks):
+    """The exact choice over several blocks is that of one task, and no block is joined with every other one."""
+    from effnum.operators import selection
+
+    rng = np.random.default_rng(8)
+    rows = [(g, k, rng.normal(size=3).tolist()) for g in "ab" for k in range(40)]
+    df = spark.createDataFrame(rows, "g string, id int, vec array<double>")
+    want = {m: selection.select_diverse(df, 4, m, by=["g"]).collect() for m in ("facility_location", "balanced")}
+
+    def never(*_):
+        raise AssertionError("pairs of blocks were joined one by one")
+
+    monkeypatch.setattr(selection, "GROUP_ROWS", 8)
+    monkeypatch.setattr(blocks, "block_pairs", never)
+    for method, rows in want.items():
+        got = selection.select_diverse(df, 4, method, by=["g"]).collect()
+        assert sorted((r.g, r.rank, r.id) for r in got) == sorted((r.g, r.rank, r.id) for r in rows)
